@@ -74,7 +74,7 @@ class ReciprocalRankFusion(FusionMethod):
     def fuse(self, search_results):
         def ranks(result: SearchResult) -> DataFrame:
             rank = dense_ranks if result.is_small() else dense_ranks_unbounded
-            return rank(result.df, result.col(), result.descending()).select("query_id", "id", "rank")
+            return rank(result.df.drop("rank"), result.col(), result.descending()).select("query_id", "id", "rank")
 
         # A list without a metric has no order to rank by; an empty one adds nothing.
         lists = [ranks(r) for r in search_results if r.bound != 0]
@@ -89,7 +89,7 @@ class ReciprocalRankFusion(FusionMethod):
         )
         bound = _total([r.bound for r in search_results])
         if self.max_count is not None:
-            fused = top_k(fused, self.max_count, [F.col("score").desc(), F.col("id").asc()]).drop("rank")
+            fused = top_k(fused, self.max_count, [F.col("score").desc(), F.col("id").asc()])
             if n_queries is not None:
                 cut = n_queries * self.max_count
                 bound = cut if bound is None else min(bound, cut)

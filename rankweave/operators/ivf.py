@@ -57,7 +57,7 @@ class IvfIndex:
                 distance=True,
                 digits=digits,
             )
-        return top_k(near, k, [F.col("distance").asc(), F.col("id").asc()]).drop("rank")
+        return top_k(near, k, [F.col("distance").asc(), F.col("id").asc()])
 
     def _scan(self, queries: QuerySet, k: int, nprobe: int, digits: int) -> DataFrame:
         query_ids, matrix = collect_queries(queries, self.dimension)

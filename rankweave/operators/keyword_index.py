@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .sizing import broadcast_if, measure
+from ..plans.queryset import QuerySet
+from .sizing import broadcast_if
 
 WHOLE = "*"
+# No token is empty, so this stands for the document itself.
+DOCUMENT = ""
 TEXT_FIELDS = ("title", "author", "content", "tag")
 # No more than this many terms can hold more than this share of all postings.
 HOT_TERMS = 10_000
@@ -36,6 +39,15 @@ class KeywordIndex:
     buckets: int = 1
     analyzer: str = "simple"
     stop_words: tuple[str, ...] | None = None
+    # Holds the terms of the queries at hand and no others.
+    restricted: bool = False
+
+    def totals(self) -> Column:
+        """Field to ``(n, total_len)``, one small map for the whole plan."""
+        per_field = self.corpus_stats.groupBy("field").agg(
+            F.struct(F.sum("n").alias("n"), F.sum("total_len").alias("total_len")).alias("sums")
+        )
+        return per_field.agg(F.map_from_entries(F.collect_list(F.struct("field", "sums")))).scalar()
 
     def hot_terms(self) -> DataFrame:
         """Terms with so many postings that a join must split them.
@@ -67,10 +79,10 @@ def tokenized(docs: DataFrame, fields: dict[str, str], analyzer: str, stop_words
     return tokens.withColumn("dl", F.size("tokens").cast("bigint"))
 
 
-def count_terms(tokens: DataFrame) -> DataFrame:
-    """``(field, id, dl, term, tf)`` from tokenized documents."""
-    words = tokens.select("field", "id", "dl", F.explode("tokens").alias("term"))
-    return words.groupBy("field", "id", "dl", "term").agg(F.count("*").alias("tf"))
+def count_words(words: DataFrame) -> DataFrame:
+    """``(field, id, dl, term, tf)`` from one row per word; -1 marks a document."""
+    step = F.when(F.col("term") == DOCUMENT, -1).otherwise(1)
+    return words.groupBy("field", "id", "dl", "term").agg(F.sum(step).alias("tf"))
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -78,35 +90,41 @@ def term_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
 
 
-def corpus_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total_len"))
-
-
 def derive_index(
     docs: DataFrame,
     fields: dict[str, str],
     *,
     analyzer: str = "simple",
     stop_words: Sequence[str] | None = None,
-    only_terms: DataFrame | None = None,
+    queries: QuerySet | None = None,
 ) -> KeywordIndex:
     """An index computed when it is read, for a batch of queries on fresh text.
 
-    ``only_terms`` (the query terms) cuts the words before they are counted,
-    so that only matching words are shuffled.  Counts for those terms and the
-    corpus totals are those of the full index.
+    ``queries`` cuts the words before they are counted, so that only words some
+    query asks for are shuffled; counts and totals stay those of all text.
+
+    The text is tokenized once: every document sends its length along as one
+    more word, and the three tables read the same exchange.  What tells them
+    apart is the sign of ``tf``, which no filter can push below the count.
     """
     tokens = tokenized(docs, fields, analyzer, stop_words)
-    words = tokens.select("field", "id", "dl", F.explode("tokens").alias("term"))
-    if only_terms is not None:
-        wanted = only_terms.select("term").distinct()
-        fits = measure(wanted, F.octet_length("term")).fits()
-        words = words.join(broadcast_if(wanted, fits), "term", "left_semi")
-    counted = words.groupBy("field", "id", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = counted.withColumn("bucket", F.lit(0))
-    stats = term_counts(postings)
-    totals = corpus_counts(tokens).withColumn("n_postings", F.col("total_len"))
-    return KeywordIndex(postings, stats, totals, tuple(fields), 1, analyzer, _words(stop_words))
+    marked = F.array_append("tokens", F.lit(DOCUMENT))
+    words = tokens.select("field", "id", "dl", F.explode(marked).alias("term"))
+    if queries is not None:
+        terms, size = queries.terms(analyzer, stop_words)
+        mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
+        wanted = terms.select("term").distinct().union(mark)
+        words = words.join(broadcast_if(wanted, size.fits()), "term", "left_semi")
+    counted = count_words(words)
+    postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
+    totals = (
+        counted.filter(F.col("tf") < 0)
+        .groupBy("field")
+        .agg(F.count("*").alias("n"), F.sum("dl").alias("total_len"), F.sum("dl").alias("n_postings"))
+    )
+    return KeywordIndex(
+        postings, term_counts(postings), totals, tuple(fields), 1, analyzer, _words(stop_words), queries is not None
+    )
 
 
 def save_index(
@@ -128,7 +146,8 @@ def save_index(
     """
     spark = docs.sparkSession
     tokens = tokenized(docs.repartition("id"), fields, analyzer, stop_words)
-    postings = count_terms(tokens).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    words = tokens.select("field", "id", "dl", F.explode("tokens").alias("term"))
+    postings = count_words(words).withColumn("bucket", bucket_of(F.col("term"), buckets))
     target = f"{path}/postings/delta={delta}"
     (
         postings.repartitionByRange("bucket", "field", "term", "id")

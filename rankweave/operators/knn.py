@@ -125,7 +125,7 @@ def exact_knn(
             digits=digits,
         )
     order = [F.col(value).asc() if distance else F.col(value).desc(), F.col("id").asc()]
-    return top_k(near, k, order).drop("rank")
+    return top_k(near, k, order)
 
 
 def collect_queries(queries: QuerySet, dimension: int) -> tuple[np.ndarray, np.ndarray]:

@@ -212,7 +212,7 @@ def max_sim(asked: np.ndarray, given: np.ndarray) -> float:
 def _cut(scored: DataFrame, max_count: int | None, before: SearchResult, queries: QuerySet) -> SearchResult:
     bound = before.bound
     if max_count is not None:
-        scored = top_k(scored, max_count, [F.col("score").desc(), F.col("id").asc()]).drop("rank")
+        scored = top_k(scored, max_count, [F.col("score").desc(), F.col("id").asc()])
         cut = queries.count * max_count
         bound = cut if bound is None else min(bound, cut)
     return SearchResult(scored, RankMetric.SCORE, bound=bound, n_queries=queries.count)

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, embed
 from ..functions.similarity import as_vector
-from ..functions.text import query_terms
 from ..plans.queryset import QuerySet, as_queries
 from ..plans.result import RankMetric, SearchResult
 from .ivf import IvfIndex
 from .keyword_index import KeywordIndex, bucket_of
 from .knn import exact_knn
 from .ranking import top_k
-from .sizing import Size, broadcast_if, measure
+from .sizing import Size, broadcast_if
 
 # Scores are summed as integers of this fraction: the sum does not depend on
 # the order in which tasks deliver their parts, so a retried task changes nothing.
@@ -65,37 +64,34 @@ class BM25Searcher(BaseSearcher):
     def weights(self, terms: DataFrame, size: Size) -> DataFrame:
         """``(query_id, field, term, weight, avg_len)`` for the terms that occur."""
         fits = size.fits()
-        wanted = broadcast_if(terms.select("term").distinct(), fits)
-        seen = self.index.term_stats.join(wanted, "term", "left_semi")
+        seen = self.index.term_stats
+        if not self.index.restricted:
+            seen = seen.join(broadcast_if(terms.select("term").distinct(), fits), "term", "left_semi")
         counts = seen.groupBy("field", "term").agg(F.sum("df").alias("df"))
-        # One row per field, whatever the size of the data.
-        totals = self.index.corpus_stats.groupBy("field").agg(
-            F.sum("n").alias("n"), F.sum("total_len").alias("total_len")
-        )
-        ratio = 1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+        known = broadcast_if(terms, fits).join(counts, "term")
+        known = known.withColumn("sums", F.element_at(self.index.totals(), F.col("field")))
+        n, df = F.col("sums.n"), F.col("df")
+        ratio = 1 + (n - df + 0.5) / (df + 0.5)
         idf = F.ln(ratio) if self.idf_base is None else F.ln(ratio) / F.ln(F.lit(float(self.idf_base)))
         times = F.col("qtf") if self.bag else F.lit(1)
-        return (
-            broadcast_if(terms, fits)
-            .join(counts, "term")
-            .join(F.broadcast(totals), "field")
-            .select(
-                "query_id",
-                "field",
-                "term",
-                (idf * (self.k1 + 1) * times).alias("weight"),
-                (F.col("total_len") / F.col("n")).alias("avg_len"),
-                bucket_of(F.col("term"), self.index.buckets).alias("bucket"),
-            )
+        return known.select(
+            "query_id",
+            "field",
+            "term",
+            (idf * (self.k1 + 1) * times).alias("weight"),
+            (F.col("sums.total_len") / n).alias("avg_len"),
         )
 
     def search(self, queries):
         queries = as_queries(queries)
-        terms = query_terms(queries.df, self.index.analyzer, self.index.stop_words)
-        size = measure(terms, F.octet_length("term") + 48)
-        # Always true; a filtered side lets Spark prune the buckets at run time.
-        weights = self.weights(terms, size).filter(F.col("avg_len") > 0)
-        postings, on = self.index.postings, ["bucket", "field", "term"]
+        terms, size = queries.terms(self.index.analyzer, self.index.stop_words)
+        weights = self.weights(terms, size)
+        postings, on = self.index.postings, ["field", "term"]
+        if not self.index.restricted:
+            # No token is empty; a filtered side lets Spark prune the buckets at run time.
+            bucket = bucket_of(F.col("term"), self.index.buckets)
+            weights = weights.filter(F.length("term") > 0).withColumn("bucket", bucket)
+            on = ["bucket", *on]
         n_fields = len(self.index.fields)
         if Size(size.rows * n_fields, size.bytes * n_fields).fits():
             matches = postings.join(F.broadcast(weights), on)
@@ -115,7 +111,7 @@ class BM25Searcher(BaseSearcher):
         hits = scored.select("query_id", "id", F.round(F.col("units") / SCORE_UNIT, self.digits).alias("score"))
         if self.max_count is not None:
             order = [F.col("score").desc(), F.col("id").asc()]
-            hits = top_k(hits, self.max_count, order).drop("rank")
+            hits = top_k(hits, self.max_count, order)
         return SearchResult(
             hits, RankMetric.SCORE, bound=queries.hits_bound(self.max_count), n_queries=queries.count
         )

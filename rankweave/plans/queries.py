@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.embed import HashingEmbedder, embed
-from ..functions.text import query_terms
 from ..functions.urls import join_url, markdown_link, remove_first, strip_query
 from ..operators.fusion import ChainFusion, ReciprocalRankFusion
 from ..operators.ivf import build_ivf, recall
@@ -36,21 +35,20 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     return fn
 
 
-def document_index(t: Inputs, only_terms: DataFrame | None = None, analyzer: str = "simple") -> KeywordIndex:
-    docs = schema.documents(t.entries())
-    return derive_index(docs, {WHOLE: "doc"}, analyzer=analyzer, only_terms=only_terms)
+def document_index(t: Inputs, queries: QuerySet | None = None, analyzer: str = "simple") -> KeywordIndex:
+    return derive_index(schema.documents(t.entries()), {WHOLE: "doc"}, analyzer=analyzer, queries=queries)
 
 
-def field_index(t: Inputs, only_terms: DataFrame | None = None) -> KeywordIndex:
-    return derive_index(t.entries(), {f: f for f in TEXT_FIELDS}, only_terms=only_terms)
+def field_index(t: Inputs, queries: QuerySet | None = None) -> KeywordIndex:
+    return derive_index(t.entries(), {f: f for f in TEXT_FIELDS}, queries=queries)
 
 
-def keyword_searcher(t: Inputs, queries: DataFrame, max_count: int | None = CANDIDATES) -> BM25Searcher:
-    return BM25Searcher(document_index(t, query_terms(queries)), max_count)
+def keyword_searcher(t: Inputs, queries: QuerySet, max_count: int | None = CANDIDATES) -> BM25Searcher:
+    return BM25Searcher(document_index(t, queries), max_count)
 
 
-def field_searcher(t: Inputs, queries: DataFrame) -> FieldBM25Searcher:
-    return FieldBM25Searcher(field_index(t, query_terms(queries)), CANDIDATES)
+def field_searcher(t: Inputs, queries: QuerySet) -> FieldBM25Searcher:
+    return FieldBM25Searcher(field_index(t, queries), CANDIDATES)
 
 
 def vector_searcher(t: Inputs, **options) -> VectorSearcher:
@@ -63,12 +61,12 @@ def n_cells(t: Inputs) -> int:
 
 def two_lists(t: Inputs) -> tuple[QuerySet, list[SearchResult]]:
     asked = as_queries(t.hybrid_queries())
-    return asked, [keyword_searcher(t, asked.df).search(asked), vector_searcher(t).search(asked)]
+    return asked, [keyword_searcher(t, asked).search(asked), vector_searcher(t).search(asked)]
 
 
 def keyword_hits(t: Inputs, max_count: int = FINAL) -> tuple[QuerySet, SearchResult]:
     asked = as_queries(t.queries())
-    return asked, keyword_searcher(t, asked.df, max_count).search(asked)
+    return asked, keyword_searcher(t, asked, max_count).search(asked)
 
 
 # Keyword index
@@ -107,19 +105,19 @@ def bm25_document(t):
 @query
 def bm25_document_all(t):
     asked = as_queries(t.queries())
-    return keyword_searcher(t, asked.df, None).search(asked).df
+    return keyword_searcher(t, asked, None).search(asked).df
 
 
 @query
 def bm25_fields(t):
     asked = as_queries(t.queries())
-    return field_searcher(t, asked.df).search(asked).ranked(CANDIDATES)
+    return field_searcher(t, asked).search(asked).ranked(CANDIDATES)
 
 
 @query
 def bm25_english(t):
     asked = as_queries(t.queries())
-    index = document_index(t, query_terms(asked.df, "english"), "english")
+    index = document_index(t, asked, "english")
     return BM25Searcher(index, CANDIDATES, idf_base=10).search(asked).ranked(CANDIDATES)
 
 
@@ -183,7 +181,7 @@ def fuse_rrf_inverse_sum(t):
 def fuse_rrf_all(t):
     """A keyword list without a limit, ranked in slices."""
     asked = as_queries(t.hybrid_queries())
-    lists = [keyword_searcher(t, asked.df, None).search(asked), vector_searcher(t).search(asked)]
+    lists = [keyword_searcher(t, asked, None).search(asked), vector_searcher(t).search(asked)]
     return ReciprocalRankFusion().fuse(lists).df
 
 
@@ -231,7 +229,7 @@ def retrieve(t):
 def hybrid_search(t: Inputs) -> DataFrame:
     asked = as_queries(t.hybrid_queries())
     search = create_search_fn(
-        [keyword_searcher(t, asked.df), vector_searcher(t)],
+        [keyword_searcher(t, asked), vector_searcher(t)],
         fusion_method=ReciprocalRankFusion(),
         reranker=PairReranker(schema.documents(t.entries())),
     )
@@ -250,7 +248,7 @@ def hybrid_chain_fields(t):
     cells = n_cells(t)
     index = build_ivf(t.vectors(), cells, max_iter=5)
     search = create_search_fn(
-        [field_searcher(t, asked.df), vector_searcher(t, use_index=True, index=index, nprobe=cells)],
+        [field_searcher(t, asked), vector_searcher(t, use_index=True, index=index, nprobe=cells)],
         fusion_method=ChainFusion(),
         reranker=PairReranker(schema.documents(t.entries())),
     )
@@ -262,7 +260,7 @@ def hybrid_chain_maxsim(t):
     """Keyword and vector search, chained, reranked by late interaction, retrieved."""
     asked = as_queries(t.hybrid_queries())
     search = create_search_fn(
-        [keyword_searcher(t, asked.df), vector_searcher(t)], fusion_method=ChainFusion(), reranker=max_sim(t)
+        [keyword_searcher(t, asked), vector_searcher(t)], fusion_method=ChainFusion(), reranker=max_sim(t)
     )
     return search(asked).retrieve(t.entries(), t.issues(), FINAL)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import query_terms
+from ..operators.sizing import Size, measure
+
 
 @dataclass(frozen=True)
 class QuerySet:
@@ -14,6 +18,15 @@ class QuerySet:
 
     df: DataFrame
     count: int
+    _terms: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def terms(self, analyzer: str = "simple", stop_words: Sequence[str] | None = None) -> tuple[DataFrame, Size]:
+        """The query terms and their size, measured once per analyzer."""
+        key = (analyzer, None if stop_words is None else tuple(stop_words))
+        if key not in self._terms:
+            words = query_terms(self.df, analyzer, stop_words)
+            self._terms[key] = (words, measure(words, F.octet_length("term")))
+        return self._terms[key]
 
     def hits_bound(self, max_count: int | None) -> int | None:
         return None if max_count is None else self.count * max_count

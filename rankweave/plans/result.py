@@ -39,6 +39,8 @@ class RankMetric(Enum):
 class SearchResult:
     """Hits ``(query_id, id, score|distance)`` and the meaning of the number.
 
+    Hits that were cut to the best of each query also carry their ``rank``.
+
     ``bound`` is an upper limit on the number of hits where one is known;
     it is what allows a join to broadcast them.  ``order`` replaces the
     metric's order where the metric is undefined.
@@ -79,11 +81,13 @@ class SearchResult:
 
     def ranked(self, max_count: int) -> DataFrame:
         """The best ``max_count`` hits of every query with their ``rank``."""
+        if "rank" in self.df.columns:
+            return self.df.filter(F.col("rank") <= max_count)
         return top_k(self.df, max_count, self.order_by())
 
     def fetch(self, table: DataFrame) -> DataFrame:
         """Inner join of the hits with a table keyed by ``id``."""
-        return fetch_rows(self.df, table, self.is_small())
+        return fetch_rows(self.df.drop("rank"), table, self.is_small())
 
     def retrieve(self, entries: DataFrame, issues: DataFrame, max_count: int) -> DataFrame:
         """The rows of the best hits: ``query_id, rank, id, title, author, content, main_link, date``.
