@@ -13,10 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import norm
 from ..plans.queryset import QuerySet
 from .knn import HIT_SCHEMA, QUERY_BYTES, Best, blocked_knn, collect_queries, drop_unmatched, offer_batch
 from .knn import unit_rows, vector_matrix
@@ -38,8 +37,7 @@ class IvfIndex:
         return self.centroids.shape[1]
 
     def nearest_cells(self, unit_queries: np.ndarray, nprobe: int) -> np.ndarray:
-        near = 2 * unit_queries @ self.centroids.T - (self.centroids**2).sum(axis=1)
-        return np.argsort(-near, axis=1, kind="stable")[:, : min(nprobe, len(self.centroids))]
+        return nearest(self.centroids, unit_queries, nprobe)
 
     def search(
         self, queries: QuerySet, k: int, nprobe: int, digits: int = 6, query_bytes: int = QUERY_BYTES
@@ -85,11 +83,11 @@ class IvfIndex:
         return rows.mapInArrow(run, HIT_SCHEMA.format(value="distance"))
 
     def _with_cells(self, queries: DataFrame, nprobe: int) -> DataFrame:
-        nearest, dimension = self.nearest_cells, self.dimension
+        centroids, dimension = self.centroids, self.dimension
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cells = nearest(unit_rows(vector_matrix(batch.column("vec"), dimension)), nprobe)
+                cells = nearest(centroids, unit_rows(vector_matrix(batch.column("vec"), dimension)), nprobe)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("query_id"), batch.column("vec"), pa.array(cells.tolist(), pa.list_(pa.int32()))],
                     ["query_id", "vec", "cells"],
@@ -118,23 +116,35 @@ def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
     return IvfIndex(spark.read.parquet(f"{path}/vectors"), np.array([r.center for r in rows]))
 
 
-def _unit(vec: Column) -> Column:
-    size = norm(vec)
-    return F.transform(vec, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
+def nearest(centroids: np.ndarray, unit_vectors: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` cells closest by cosine, closest first."""
+    return np.argsort(-(unit_vectors @ centroids.T), axis=1, kind="stable")[:, :n]
 
 
 def build_ivf(vectors: DataFrame, n_cells: int, *, seed: int = 42, max_iter: int = 10) -> IvfIndex:
-    """Learn the cells on a sample and assign every vector to its nearest one."""
-    rows = vectors.filter(F.col("vec").isNotNull()).select("id", "vec")
-    ready = rows.withColumn("features", array_to_vector(_unit(F.col("vec"))))
-    total = rows.count()
-    share = min(1.0, n_cells * TRAIN_PER_CELL / max(1, total))
+    """Learn the cells on a sample and assign every vector to its nearest one.
+
+    Vectors without a direction (all zeros) match no query and get no cell.
+    """
+    some = F.exists("vec", lambda x: x != 0)
+    rows = vectors.filter(F.col("vec").isNotNull() & some).select("id", "vec")
+    share = min(1.0, n_cells * TRAIN_PER_CELL / max(1, vectors.count()))
     # The same rows whatever task reads them.
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    trained = ready.filter(draw) if share < 1 else ready
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, predictionCol="cell").fit(trained.select("features"))
-    assigned = model.transform(ready).select("id", "vec", "cell")
-    return IvfIndex(assigned, np.array(model.clusterCenters()))
+    trained = (rows.filter(draw) if share < 1 else rows).select(array_to_vector("vec").alias("features"))
+    means = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(trained)
+    centroids = unit_rows(np.array(means.clusterCenters()))
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value
+        for batch in batches:
+            cells = nearest(centers, unit_rows(vector_matrix(batch.column("vec"), centers.shape[1])), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("vec"), pa.array(cells, pa.int32())], ["id", "vec", "cell"]
+            )
+
+    return IvfIndex(rows.mapInArrow(assign, "id bigint, vec array<float>, cell int"), centroids)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

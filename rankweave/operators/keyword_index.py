@@ -106,6 +106,7 @@ def derive_index(
     The text is tokenized once: every document sends its length along as one
     more word, and the three tables read the same exchange.  What tells them
     apart is the sign of ``tf``, which no filter can push below the count.
+    Words are spread by document, which serves the count and the scoring alike.
     """
     tokens = tokenized(docs, fields, analyzer, stop_words)
     marked = F.array_append("tokens", F.lit(DOCUMENT))
@@ -115,7 +116,7 @@ def derive_index(
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
         wanted = terms.select("term").distinct().union(mark)
         words = words.join(broadcast_if(wanted, size.fits()), "term", "left_semi")
-    counted = count_words(words)
+    counted = count_words(words.repartition("id"))
     postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
     totals = (
         counted.filter(F.col("tf") < 0)
@@ -139,10 +140,10 @@ def save_index(
 ) -> None:
     """Write one delta of the index; writing the same delta again replaces it.
 
-    Documents are spread by id, which balances the tokenizing and also serves
-    the count per document, so words are counted where they are produced.  The
-    second shuffle sorts by (bucket, term, id): a frequent term spans several
-    tasks and files, a rare one sits in one row group.
+    One shuffle: documents are spread by id, which balances the tokenizing and
+    also serves the count per document.  Each task then sorts its postings and
+    writes them by term bucket, so a word that every document has lies in all
+    tasks' files alike, and a rare word in one row group of each.
     """
     spark = docs.sparkSession
     tokens = tokenized(docs.repartition("id"), fields, analyzer, stop_words)
@@ -150,15 +151,14 @@ def save_index(
     postings = count_words(words).withColumn("bucket", bucket_of(F.col("term"), buckets))
     target = f"{path}/postings/delta={delta}"
     (
-        postings.repartitionByRange("bucket", "field", "term", "id")
-        .sortWithinPartitions("bucket", "field", "term", "id")
+        postings.sortWithinPartitions("bucket", "field", "term", "id")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(target)
     )
     # Everything else follows from the written postings; text is not read again.
     written = spark.read.parquet(target)
-    stats = term_counts(written).repartitionByRange("term").sortWithinPartitions("term")
+    stats = term_counts(written).sortWithinPartitions("term")
     stats.write.mode("overwrite").parquet(f"{path}/term_stats/delta={delta}")
     sums = written.groupBy("field").agg(F.sum("tf").alias("total_len"), F.count("*").alias("n_postings"))
     names = spark.createDataFrame([(f,) for f in fields], "field string")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +75,11 @@ class Reranker(ABC):
         return pairs.fetch(self.documents).select("query_id", "id", "doc")
 
     def pairs(self, queries: QuerySet, search_result: SearchResult) -> DataFrame:
-        """``(query_id, id, query, doc)``."""
+        """``(query_id, id, query, doc)``, spread evenly for the scoring to come."""
         docs = self.retrieve_docs(search_result)
         asked = queries.df.select("query_id", "query")
         if measure(asked, F.octet_length("query")).fits():
-            return docs.join(F.broadcast(asked), "query_id")
+            return docs.repartition("query_id", "id").join(F.broadcast(asked), "query_id")
         # One query may own a third of the hits.
         return salted_join(docs, asked, ["query_id"], F.col("id"))
 
@@ -153,19 +154,16 @@ class MaxSimReranker(Reranker):
 
     def _by_table(self, keys: DataFrame) -> DataFrame:
         """The token table travels to the tasks once; pairs stay where they are."""
-        table = self.token_vectors.select("key", "vec").toArrow()
-        slots = {key: i for i, key in enumerate(table["key"].to_pylist())}
+        table = self.token_vectors.select("key", "vec").toArrow().combine_chunks()
         matrix = vector_matrix(table["vec"], self.dimension)
-        shared = keys.sparkSession.sparkContext.broadcast((slots, matrix))
+        shared = keys.sparkSession.sparkContext.broadcast((table["key"].combine_chunks(), matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slots, matrix = shared.value
+            known, matrix = shared.value
             for batch in batches:
-                scores = []
-                for asked, given in zip(batch.column("asked").to_pylist(), batch.column("given").to_pylist()):
-                    q = [slots[k] for k in asked if k in slots]
-                    d = [slots[k] for k in given if k in slots]
-                    scores.append(max_sim(matrix[q], matrix[d]))
+                asked = known_rows(batch.column("asked"), known)
+                given = known_rows(batch.column("given"), known)
+                scores = [max_sim(matrix[q], matrix[d]) for q, d in zip(asked, given)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("query_id"), batch.column("id"), pa.array(scores, pa.float64())],
                     ["query_id", "id", "score"],
@@ -203,6 +201,14 @@ class MaxSimReranker(Reranker):
         return pairs.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def known_rows(lists: pa.ListArray, known: pa.Array) -> list[np.ndarray]:
+    """Per list, the positions in ``known`` of those elements it has."""
+    found = pc.index_in(lists.flatten(), value_set=known)
+    at = found.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return [part[part >= 0] for part in np.split(at, ends[:-1])]
+
+
 def max_sim(asked: np.ndarray, given: np.ndarray) -> float:
     if not len(asked) or not len(given):
         return 0.0

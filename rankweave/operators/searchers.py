@@ -86,29 +86,17 @@ class BM25Searcher(BaseSearcher):
         queries = as_queries(queries)
         terms, size = queries.terms(self.index.analyzer, self.index.stop_words)
         weights = self.weights(terms, size)
-        postings, on = self.index.postings, ["field", "term"]
-        if not self.index.restricted:
-            # No token is empty; a filtered side lets Spark prune the buckets at run time.
-            bucket = bucket_of(F.col("term"), self.index.buckets)
-            weights = weights.filter(F.length("term") > 0).withColumn("bucket", bucket)
-            on = ["bucket", *on]
         n_fields = len(self.index.fields)
         if Size(size.rows * n_fields, size.bytes * n_fields).fits():
-            matches = postings.join(F.broadcast(weights), on)
+            matches = self._spread(terms).join(F.broadcast(weights), ["field", "term"])
         else:
-            hot = F.broadcast(self.index.hot_terms())
-            salts = F.coalesce("salts", F.lit(1))
-            split = postings.join(hot, ["field", "term"], "left").withColumn(
-                "salt", F.pmod(F.xxhash64("id"), salts).cast("int")
-            )
-            copies = weights.join(hot, ["field", "term"], "left").withColumn(
-                "salt", F.explode(F.sequence(F.lit(0), salts - 1))
-            )
-            matches = split.drop("salts").join(copies.drop("salts"), [*on, "salt"])
+            matches = self._salted(weights)
         damp = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avg_len"))
-        part = F.round(F.col("weight") * F.col("tf") / damp * SCORE_UNIT).cast("bigint")
+        part = F.rint(F.col("weight") * F.col("tf") / damp * SCORE_UNIT).cast("bigint")
         scored = matches.groupBy("query_id", "id").agg(F.sum(part).alias("units"))
-        hits = scored.select("query_id", "id", F.round(F.col("units") / SCORE_UNIT, self.digits).alias("score"))
+        step = 10.0**self.digits
+        score = F.rint(F.col("units") / (SCORE_UNIT / step)) / step
+        hits = scored.select("query_id", "id", score.alias("score"))
         if self.max_count is not None:
             order = [F.col("score").desc(), F.col("id").asc()]
             hits = top_k(hits, self.max_count, order)
@@ -117,6 +105,32 @@ class BM25Searcher(BaseSearcher):
         )
 
 
+    def _spread(self, terms: DataFrame) -> DataFrame:
+        """The postings of the query terms, with every document in one task.
+
+        A posting is shuffled once, however many queries ask for its term, and
+        the sum per query and document needs no further shuffle.
+        """
+        if self.index.restricted:
+            return self.index.postings
+        # No token is empty; a filtered side lets Spark prune the buckets at run time.
+        wanted = terms.filter(F.length("term") > 0).select("term").distinct()
+        wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), self.index.buckets))
+        found = self.index.postings.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
+        return found.repartition("id")
+
+    def _salted(self, weights: DataFrame) -> DataFrame:
+        """More query terms than a broadcast holds: join by term, splitting hot ones."""
+        hot = F.broadcast(self.index.hot_terms())
+        salts = F.coalesce("salts", F.lit(1))
+        on = ["field", "term"]
+        split = self.index.postings.join(hot, on, "left").withColumn(
+            "salt", F.pmod(F.xxhash64("id"), salts).cast("int")
+        )
+        copies = weights.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        return split.drop("salts").join(copies.drop("salts"), [*on, "salt"])
+
+
 class FieldBM25Searcher(BM25Searcher):
     """BM25 per field and the sum over fields, always cut to ``max_count``."""
 

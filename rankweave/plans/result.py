@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import top_k
 from ..operators.sizing import BROADCAST_BYTES, HIT_BYTES, broadcast_if
-from ..sources.store import block_of
+from ..sources.store import block_of, block_width
 
 
 LOWEST_ID = -(1 << 63)
@@ -22,10 +22,10 @@ def fetch_rows(hits: DataFrame, table: DataFrame, small: bool) -> DataFrame:
     A table written in id blocks is pruned at run time, since the block of
     each hit then joins the partition column.
     """
-    on = ["id"]
-    if "id_block" in table.columns:
+    on, width = ["id"], block_width(table)
+    if width is not None:
         # The filter keeps every hit; run-time pruning wants a filtered side.
-        hits = hits.withColumn("id_block", block_of(F.col("id"))).filter(F.col("id") >= LOWEST_ID)
+        hits = hits.withColumn("id_block", block_of(width)).filter(F.col("id") >= LOWEST_ID)
         on = ["id", "id_block"]
     return table.join(broadcast_if(hits, small), on).drop("id_block")
 

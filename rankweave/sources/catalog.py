@@ -14,7 +14,8 @@ LINE = r"(?U)^Issue #(\d+)\s+—\s+(\w+)\s+(\d+)\W+(\d+)$"
 def parse_catalog(lines: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
     """Split ``(line, href)`` into parsed issues and lines that do not parse.
 
-    Parsed rows are ``(id, publish_date, url)``; the rest keep their columns.
+    Parsed rows are ``(id, publish_date, url)`` and whatever else came along;
+    the rest keep their columns.
     """
 
     def part(i: int):
@@ -26,6 +27,9 @@ def parse_catalog(lines: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame
     )
     good = F.col("line").isNotNull() & F.col("_id").isNotNull() & F.col("_date").isNotNull()
     parsed = read.filter(good).select(
-        F.col("_id").alias("id"), F.col("_date").alias("publish_date"), join_url(base_url, F.col("href")).alias("url")
+        F.col("_id").alias("id"),
+        F.col("_date").alias("publish_date"),
+        join_url(base_url, F.col("href")).alias("url"),
+        *[c for c in lines.columns if c not in ("line", "href")],
     )
     return parsed, read.filter(~F.coalesce(good, F.lit(False))).select(*lines.columns)

@@ -7,12 +7,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .layouts import read_entries
 
-ENTRY = (
-    "struct<title:string, author:string, content:string, main_link:string, "
-    "other_links:array<string>, tag:string>"
+TEXT = T.StringType()
+ENTRIES = T.ArrayType(
+    T.StructType(
+        [T.StructField(c, TEXT) for c in ("title", "author", "content", "main_link")]
+        + [T.StructField("other_links", T.ArrayType(TEXT)), T.StructField("tag", TEXT)]
+    )
 )
 # Entry positions inside a page stay below this, so ids never meet.
 IDS_PER_ISSUE = 1 << 32
@@ -45,7 +49,7 @@ def metadata_author(text: Column) -> Column:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``(issue_id, entries, error)``, one row per page of ``(issue_id, html)``.
+    """Pages ``(issue_id, html, ...)`` with ``entries`` and ``error`` for ``html``.
 
     ``entries`` is null exactly where no layout could read the page; ``error``
     then says why.  A page that holds nothing gives an empty array.
@@ -54,16 +58,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             read = [read_entries(html) for html in batch["html"]]
-            yield pd.DataFrame(
-                {
-                    "issue_id": batch["issue_id"],
-                    "entries": [entries for entries, _ in read],
-                    "error": [error for _, error in read],
-                }
-            )
-
-    wanted = pages.select(F.col("issue_id").cast("bigint").alias("issue_id"), "html")
-    return wanted.mapInPandas(run, f"issue_id bigint, entries array<{ENTRY}>, error string")
+            entries = pd.Series([entries for entries, _ in read], index=batch.index, dtype=object)
+            errors = pd.Series([error for _, error in read], index=batch.index, dtype=object)
+            yield batch.drop(columns="html").assign(entries=entries, error=errors)
+
+    kept = pages.drop("html").schema
+    schema = T.StructType([*kept.fields, T.StructField("entries", ENTRIES), T.StructField("error", T.StringType())])
+    return pages.mapInPandas(run, schema)
 
 
 def entries_of(parsed: DataFrame) -> DataFrame:

@@ -8,12 +8,27 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Ids per partition directory of a block-stored table.
-BLOCK_ROWS = 1_000_000
+# Ids per partition directory of a block-stored table, if ids are dense.
+BLOCK_WIDTH = 1_000_000
+# Writing tasks a full block may be split over.
+SLICES = 20
 
 
-def block_of(id_col: Column) -> Column:
-    return F.floor(id_col / BLOCK_ROWS).cast("bigint")
+def block_of(width: int = BLOCK_WIDTH) -> Column:
+    """The block of the column ``id``."""
+    return F.expr(f"id div {width}L")
+
+
+def block_width(table: DataFrame) -> int | None:
+    """How wide the blocks of a stored table are; None if it has none."""
+    if "id_block" not in table.columns:
+        return None
+    return table.schema["id"].metadata.get("block_width")
+
+
+def with_width(table: DataFrame, width: int) -> DataFrame:
+    """Note the width on the ``id`` column; parquet files keep the note."""
+    return table.withColumn("id", F.col("id").alias("id", metadata={"block_width": width}))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def write_blocks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store a table keyed by ``id`` in blocks of consecutive ids, sorted by id."""
-    blocked = df.withColumn("id_block", block_of(F.col("id")))
+def write_blocks(df: DataFrame, path: str, mode: str = "overwrite", width: int = BLOCK_WIDTH) -> None:
+    """Store a table keyed by ``id`` in blocks of consecutive ids, sorted by id.
+
+    A task gets whole slices of a block, so files cover narrow ranges of ids
+    without the sampling pass of a range partitioning.
+    """
+    blocked = with_width(df, width).withColumn("id_block", block_of(width))
     (
-        blocked.repartitionByRange("id_block", "id")
+        blocked.repartition("id_block", F.expr(f"id div {max(1, width // SLICES)}L"))
         .sortWithinPartitions("id_block", "id")
         .write.mode(mode)
         .partitionBy("id_block")
@@ -65,12 +84,16 @@ def new_keys(incoming: DataFrame, existing: DataFrame, key: str = "id") -> DataF
     return incoming.join(existing.select(key), key, "left_anti")
 
 
+def one_per_key(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of every key, the same whatever order the rows come in."""
+    rest = [c for c in df.columns if c != key]
+    row = F.struct(F.xxhash64(*rest).alias("_hash"), *rest)
+    return df.groupBy(key).agg(F.min(row).alias("_row")).select(key, *[f"_row.{c}" for c in rest])
+
+
 def insert_or_ignore(incoming: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """The table after adding rows with new keys; of a repeated new key one row stays."""
-    rest = [c for c in incoming.columns if c != key]
-    row = F.struct(F.xxhash64(*rest).alias("_hash"), *rest)
-    first = incoming.groupBy(key).agg(F.min(row).alias("_row")).select(key, *[f"_row.{c}" for c in rest])
-    return append_by_name(new_keys(first, existing, key), existing)
+    return append_by_name(one_per_key(new_keys(incoming, existing, key), key), existing)
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
