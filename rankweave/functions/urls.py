@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def strip_query(url: Column) -> Column:
     """Drop ``?query`` and keep the fragment."""
-    return F.regexp_replace(url, r"\?[^#]*", "")
+    return F.regexp_replace(url, r"^([^?#]*)\?[^#]*", "$1")
 
 
 def join_url(base: str, href: Column) -> Column:

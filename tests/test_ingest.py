@@ -291,7 +291,7 @@ def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
     issues, titles, _ = state(library)
     assert [(i, n) for i, _, n in issues] == [(1, 2), (2, 2), (5, 1)]
     assert titles == ["Fast & small", "One line", "Second", "T", "Third"]
-    assert hits(library, "fast links")[0] == "Fast & small"
+    assert hits(library, "fast small")[0] == "Fast & small"
     whole = Library(spark, str(tmp_path / "whole"), buckets=4)
     whole.ingest(arrivals(spark, 1, 2, 5), 0, BASE)
     for query in ("fast links", "text with two links", "one line joe"):
