@@ -61,7 +61,7 @@ def main() -> None:
 
     run(t.table("documents"))
     entries_path, issues = f"{root}/entries", t.issues()
-    timed("build_entries", lambda: write_blocks(t.entries(), entries_path))
+    timed("build_entries", lambda: write_blocks(t.entries(), entries_path, width=20_000))
     entries = spark.read.parquet(entries_path)
     documents = schema.documents(entries)
     timed("build_keyword_index", lambda: save_index(documents, {WHOLE: "doc"}, f"{root}/doc", buckets=16))

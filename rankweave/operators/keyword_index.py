@@ -68,21 +68,43 @@ def _words(stop_words: Sequence[str] | None) -> tuple[str, ...] | None:
     return None if stop_words is None else tuple(stop_words)
 
 
-def tokenized(docs: DataFrame, fields: dict[str, str], analyzer: str, stop_words: Sequence[str] | None) -> DataFrame:
-    """``(field, id, tokens, dl)``, one row per document and field."""
+def counted_words(docs: DataFrame, fields: dict[str, str], analyzer: str, stop_words: Sequence[str] | None) -> DataFrame:
+    """``(field, id, dl, words)`` per document and field; words are ``(term, tf)``.
+
+    Words are counted inside the row: in the sorted tokens each run of equal
+    ones is a word.  So counts leave the document ready made, without a shuffle.
+    """
     texts = [F.struct(F.lit(name).alias("field"), F.col(c).alias("text")) for name, c in fields.items()]
     if len(texts) == 1:
         long = docs.select("id", texts[0].alias("one")).select("one.field", "id", "one.text")
     else:
         long = docs.select("id", F.inline(F.array(*texts))).select("field", "id", "text")
-    tokens = long.select("field", "id", tokenize("text", analyzer, stop_words).alias("tokens"))
-    return tokens.withColumn("dl", F.size("tokens").cast("bigint"))
+    row = long.select("field", "id", F.sort_array(tokenize("text", analyzer, stop_words)).alias("tokens"))
+
+    def opens_run(i: Column) -> Column:
+        return (i == 1) | (F.element_at("tokens", i) != F.element_at("tokens", i - 1))
+
+    def word(start: Column, run: Column) -> Column:
+        end = F.coalesce(F.get("starts", run + 1), F.size("tokens") + 1)
+        return F.struct(F.element_at("tokens", start).alias("term"), (end - start).cast("bigint").alias("tf"))
+
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"))).otherwise(F.array().cast("array<int>"))
+    starts = row.withColumn("starts", F.filter(places, opens_run))
+    return starts.select(
+        "field", "id", F.size("tokens").cast("bigint").alias("dl"), F.transform("starts", word).alias("words")
+    )
 
 
-def count_words(words: DataFrame) -> DataFrame:
-    """``(field, id, dl, term, tf)`` from one row per word; -1 marks a document."""
-    step = F.when(F.col("term") == DOCUMENT, -1).otherwise(1)
-    return words.groupBy("field", "id", "dl", "term").agg(F.sum(step).alias("tf"))
+def posting_rows(counted: DataFrame, *, mark_documents: bool = False) -> DataFrame:
+    """``(field, id, dl, term, tf)``; with a row of ``tf`` -1 per document if asked."""
+    words = F.col("words")
+    if mark_documents:
+        mark = F.struct(F.lit(DOCUMENT).alias("term"), F.lit(-1).cast("bigint").alias("tf"))
+        words = F.array_append(words, mark)
+    # The outer form, because for the plain one Spark adds a filter on the array
+    # that would count all words a second time; no word is null otherwise.
+    rows = counted.select("field", "id", "dl", F.inline_outer(words))
+    return rows.filter(F.col("term").isNotNull())
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -105,18 +127,16 @@ def derive_index(
 
     The text is tokenized once: every document sends its length along as one
     more word, and the three tables read the same exchange.  What tells them
-    apart is the sign of ``tf``, which no filter can push below the count.
-    Words are spread by document, which serves the count and the scoring alike.
+    apart is the sign of ``tf``; as that is a sum, no filter on it moves below
+    the exchange.  Words are spread by document, which the scoring needs too.
     """
-    tokens = tokenized(docs, fields, analyzer, stop_words)
-    marked = F.array_append("tokens", F.lit(DOCUMENT))
-    words = tokens.select("field", "id", "dl", F.explode(marked).alias("term"))
+    words = posting_rows(counted_words(docs, fields, analyzer, stop_words), mark_documents=True)
     if queries is not None:
         terms, size = queries.terms(analyzer, stop_words)
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
         wanted = terms.select("term").distinct().union(mark)
         words = words.join(broadcast_if(wanted, size.fits()), "term", "left_semi")
-    counted = count_words(words.repartition("id"))
+    counted = words.repartition("id").groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
     postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
     totals = (
         counted.filter(F.col("tf") < 0)
@@ -140,15 +160,14 @@ def save_index(
 ) -> None:
     """Write one delta of the index; writing the same delta again replaces it.
 
-    One shuffle: documents are spread by id, which balances the tokenizing and
-    also serves the count per document.  Each task then sorts its postings and
-    writes them by term bucket, so a word that every document has lies in all
-    tasks' files alike, and a rare word in one row group of each.
+    One shuffle: documents are spread by id, which balances the tokenizing.
+    Each task then sorts its postings and writes them by term bucket, so a word
+    that every document has lies in all tasks' files alike, and a rare word in
+    one row group of each.
     """
     spark = docs.sparkSession
-    tokens = tokenized(docs.repartition("id"), fields, analyzer, stop_words)
-    words = tokens.select("field", "id", "dl", F.explode("tokens").alias("term"))
-    postings = count_words(words).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    counted = counted_words(docs.repartition("id"), fields, analyzer, stop_words)
+    postings = posting_rows(counted).withColumn("bucket", bucket_of(F.col("term"), buckets))
     target = f"{path}/postings/delta={delta}"
     (
         postings.sortWithinPartitions("bucket", "field", "term", "id")
