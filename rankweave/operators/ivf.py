@@ -78,8 +78,10 @@ class IvfIndex:
             drop_unmatched(best)
             yield best.rows(query_ids, True)
 
-        # At most one literal per cell; on a stored index this skips directories.
-        rows = self.vectors.filter(F.col("cell").isin(probed)).select("id", "vec", "cell")
+        rows = self.vectors.select("id", "vec", "cell")
+        if len(probed) < len(self.centroids):
+            # At most one literal per cell; on a stored index this skips directories.
+            rows = rows.filter(F.col("cell").isin(probed))
         return rows.mapInArrow(run, HIT_SCHEMA.format(value="distance"))
 
     def _with_cells(self, queries: DataFrame, nprobe: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_k
-from ..operators.sizing import BROADCAST_BYTES, HIT_BYTES, broadcast_if
+from ..operators.sizing import BROADCAST_BYTES, HIT_BYTES, broadcast_if, salted_join
 from ..sources.store import block_of, block_width
 
 
@@ -101,7 +101,8 @@ class SearchResult:
             best = top_k(found, max_count, self.order_by())
         else:
             # Choose the winners on narrow columns; read text for them alone.
-            narrow = self.fetch(entries.select(*keep)).join(dated, "issue_id")
+            narrow = self.fetch(entries.select(*keep))
+            narrow = salted_join(narrow, dated, ["issue_id"], F.col("id"))
             winners = top_k(narrow, max_count, self.order_by())
             few = self.n_queries is not None and self.n_queries * max_count * HIT_BYTES <= BROADCAST_BYTES
             best = fetch_rows(winners.drop("issue_id"), entries.drop("issue_id"), few)
