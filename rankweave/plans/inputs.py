@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 BASE_URL = "https://weekly.example"
 
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 
