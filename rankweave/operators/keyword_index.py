@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..plans.queryset import QuerySet
-from .sizing import broadcast_if
 
 WHOLE = "*"
 # No token is empty, so this stands for the document itself.
@@ -122,8 +121,9 @@ def derive_index(
 ) -> KeywordIndex:
     """An index computed when it is read, for a batch of queries on fresh text.
 
-    ``queries`` cuts the words before they are counted, so that only words some
-    query asks for are shuffled; counts and totals stay those of all text.
+    ``queries`` cuts the words, as long as their terms fit a broadcast, so that
+    only words some query asks for are shuffled; counts and totals stay those
+    of all text.
 
     The text is tokenized once: every document sends its length along as one
     more word, and the three tables read the same exchange.  What tells them
@@ -131,11 +131,14 @@ def derive_index(
     the exchange.  Words are spread by document, which the scoring needs too.
     """
     words = posting_rows(counted_words(docs, fields, analyzer, stop_words), mark_documents=True)
+    restricted = False
     if queries is not None:
         terms, size = queries.terms(analyzer, stop_words)
+        restricted = size.fits()
+    if restricted:
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
         wanted = terms.select("term").distinct().union(mark)
-        words = words.join(broadcast_if(wanted, size.fits()), "term", "left_semi")
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
     counted = words.repartition("id").groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
     postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
     totals = (
@@ -144,7 +147,7 @@ def derive_index(
         .agg(F.count("*").alias("n"), F.sum("dl").alias("total_len"), F.sum("dl").alias("n_postings"))
     )
     return KeywordIndex(
-        postings, term_counts(postings), totals, tuple(fields), 1, analyzer, _words(stop_words), queries is not None
+        postings, term_counts(postings), totals, tuple(fields), 1, analyzer, _words(stop_words), restricted
     )
 
 

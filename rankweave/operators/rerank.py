@@ -21,7 +21,7 @@ from ..plans.queryset import QuerySet, as_queries
 from ..plans.result import RankMetric, SearchResult
 from .knn import vector_matrix
 from .ranking import top_k
-from .sizing import broadcast_if, measure, salted_join
+from .sizing import measure, salted_join
 
 PairScorer = Callable[[Column, Column], Column]
 TABLE_BYTES = 64 << 20

@@ -15,7 +15,7 @@ from .ivf import IvfIndex
 from .keyword_index import KeywordIndex, bucket_of
 from .knn import exact_knn
 from .ranking import top_k
-from .sizing import Size, broadcast_if
+from .sizing import Size, broadcast_if, salted_join
 
 # Scores are summed as integers of this fraction: the sum does not depend on
 # the order in which tasks deliver their parts, so a retried task changes nothing.
@@ -68,7 +68,11 @@ class BM25Searcher(BaseSearcher):
         if not self.index.restricted:
             seen = seen.join(broadcast_if(terms.select("term").distinct(), fits), "term", "left_semi")
         counts = seen.groupBy("field", "term").agg(F.sum("df").alias("df"))
-        known = broadcast_if(terms, fits).join(counts, "term")
+        if fits:
+            known = F.broadcast(terms).join(counts, "term")
+        else:
+            # A common word may be in a third of the queries.
+            known = salted_join(terms, counts, ["term"], F.col("query_id"))
         known = known.withColumn("sums", F.element_at(self.index.totals(), F.col("field")))
         n, df = F.col("sums.n"), F.col("df")
         ratio = 1 + (n - df + 0.5) / (df + 0.5)
@@ -155,7 +159,7 @@ class VectorSearcher(BaseSearcher):
         embedder: Embedder | None = None,
         use_index: bool = False,
         index: IvfIndex | None = None,
-        nprobe: int = 16,
+        nprobe: int = 32,
         digits: int = 6,
     ):
         if use_index and index is None:

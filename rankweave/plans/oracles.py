@@ -1,4 +1,4 @@
-"""The registered queries in DuckDB SQL, written independently of the engine.
+"""The registered queries as SQL for the comparison, independent of the engine.
 
 A query is a list of named parts; ``sql`` puts the needed ones in front.
 """

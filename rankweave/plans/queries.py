@@ -148,7 +148,7 @@ def knn_text(t):
 def ann_recall(t):
     asked = as_queries(t.hybrid_queries())
     index = build_ivf(t.vectors(), n_cells(t))
-    near = vector_searcher(t, use_index=True, index=index).search(asked).ranked(10)
+    near = vector_searcher(t, use_index=True, index=index, nprobe=8).search(asked).ranked(10)
     return recall(near, vector_searcher(t).search(asked).ranked(10))
 
 

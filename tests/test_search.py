@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,11 +16,9 @@ from rankweave import (
     ChainFusion,
     FieldBM25Searcher,
     HashingEmbedder,
-    IvfIndex,
     MaxSimReranker,
     NullSearcher,
     PairReranker,
-    QuerySet,
     RankMetric,
     ReciprocalRankFusion,
     SearchResult,
@@ -42,7 +39,7 @@ from rankweave.operators.keyword_index import append_index
 from rankweave.operators.ranking import dense_ranks, dense_ranks_unbounded, top_k
 from rankweave.operators.sizing import salted_join
 from rankweave.plans.inputs import Inputs
-from rankweave.plans.queries import document_index, keyword_hits, n_cells, vector_searcher
+from rankweave.plans.queries import keyword_hits, n_cells, vector_searcher
 from rankweave.sources.store import write_blocks
 from rankweave import schema
 
