@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.errors import AnalysisException
@@ -31,16 +32,24 @@ def with_width(table: DataFrame, width: int) -> DataFrame:
     return table.withColumn("id", F.col("id").alias("id", metadata={"block_width": width}))
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it.
+    """The folder all executors see, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without the setting (a local test) gets a folder of its own.
+    Without the setting a local session, whose tasks all run on this machine, gets a
+    temporary folder; on a cluster there is no such folder to fall back on.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = tempfile.mkdtemp(prefix="rankweave-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    if known:
+        return known
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="rankweave-")
+    return _own_dirs[context.applicationId]
 
 
 def write_blocks(df: DataFrame, path: str, mode: str = "overwrite", width: int = BLOCK_WIDTH) -> None:
