@@ -5,8 +5,10 @@ from __future__ import annotations
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op9_packing
 from .quality_rules import op8_quality_rules
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
