@@ -107,8 +107,7 @@ def _pack(tokenizer: str, capacity: int, group: int, quadratic: float):
             return pa.RecordBatch.from_arrays(arrays, names=list(rows))
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.many(texts, END), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.many(batch.column("text"), END), strict=True):
                 held.append((doc, ids, 0, len(ids)))
                 total += len(ids)
                 if total >= group * capacity:

@@ -3,51 +3,125 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Words kept by a worker; beyond it the table starts anew.
-CACHED_WORDS = 600_000
+# Entries of each table that a worker keeps.
+CACHED_WORDS = 400_000
+# Texts whose words are looked up together.
+PART_BYTES = 12 << 20
+# Letters that no normal form and no context changes, then plain punctuation.  U+0130 lower-cases to two characters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for characters from 256 on, in order.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """Ids of words between spaces; an unknown word is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.encode, self.split = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            ids = self._ids(word)
+        else:
+            ids = self._stem(plain[1].lower())
+            if plain[2]:
+                ids += self._stem(plain[2])
+        self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, part: str) -> bytes:
+        ids = self.young.get(part)
+        if ids is None:
+            ids = self.old.get(part)
+            if ids is None:
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.split(shown)]).tobytes()
+            self.young[part] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self[""] = b""
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
 
 
 class WordEncoder:
     """Ids of a tokenizer whose tokens never span a space or line break.
 
     True of tokenizers that drop white space before splitting; then the ids of a text are
-    those of its words in order, and a word is encoded once a worker.
+    those of its words in order.  Plain words of a byte-level vocabulary that lower-cases are
+    looked up without their case and punctuation, since those are tokens of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words = _Words(Tokenizer.from_file(path))
 
     @staticmethod
     @lru_cache(maxsize=2)
     def of(path: str) -> WordEncoder:
         return WordEncoder(path)
 
-    def many(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def many(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit values, ``end`` after the last."""
-        stop = np.array([end], "<u4").tobytes()
-        out = []
-        step = 500
-        for at in range(0, len(texts), step):
-            words = [t.replace("\n", " ").split(" ") for t in texts[at : at + step]]
-            self._learn(words)
-            get = self.known.__getitem__
-            out.extend(np.frombuffer(b"".join(map(get, w)) + stop, "<u4") for w in words)
-        return out
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.known))
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        column = pc.fill_null(texts, "").cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(column).to_numpy())
+        at = 0
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+            yield from self._part(column.slice(at, stop - at), end)
+            at = stop
+
+    def _part(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+        """Every distinct word of the texts is looked up once, and its ids put in all its places."""
+        # Lower case would make a special token of one in capitals.
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        self.words.trim()
+        found = [*map(self.words.__getitem__, words.dictionary.to_pylist())]
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = words.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        source = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts)
+        source += np.arange(len(source))
+        flat = ids[source]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = np.empty(high - low + 1, np.uint32)
+            own[:-1] = flat[low:high]
+            own[-1] = end
+            yield own
 
 
 # A space between two characters that are no white space: the next token may begin with it.
