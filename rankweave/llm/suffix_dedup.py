@@ -36,8 +36,8 @@ LENGTH = 100
 ANCHOR = 24
 # Slices that stay in the processor's cache.
 SLICE = 1 << 17
-# Regions that may share a gram before their windows are dealt out by window.
-HOT_REGIONS = 1024
+# Regions sharing a gram that one task sorts (their windows take about 300 MB); beyond, windows are dealt out.
+HOT_REGIONS = 1 << 16
 # Windows sorted at once.
 SORT_WINDOWS = 50_000
 # For splitters: documents looked at per bucket, and suffixes taken of one.
