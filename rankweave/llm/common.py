@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+# Text handled at once by a task; arrays made of it take a multiple.
+PORTION_BYTES = 4 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text; a longer text is a batch of its own."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            limit = (int(sizes[at - 1]) if at else 0) + PORTION_BYTES
+            end = max(at + 1, int(np.searchsorted(sizes, limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """A function for mapInArrow that treats every batch alone."""
+    """A function for mapInArrow that treats every portion of the column ``text`` alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+        for batch in portions(batches):
+            yield work(batch)
 
     return run
 

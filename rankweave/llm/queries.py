@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .near_dedup import op6_near_dedup
 from .packing import op9_packing
 from .quality_model import op1_quality_classifier
 from .quality_rules import op8_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_near_dedup": op6_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
