@@ -1,10 +1,67 @@
-"""A corpus from raw documents to packed sequences, stage by stage."""
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Each stage works on all that its predecessor kept and is written as Parquet before the next
+one reads it, so a lost executor costs a part of one stage.  The columns are those of
+``documents`` up to the last stage, which gives the pieces of the packed sequences.
+``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.llm import line_dedup, near_dedup, packing, quality_model, suffix_dedup
+from rankweave.llm.common import documents, stored
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``n_chars``, if there is one, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.lit(0).cast(kind)))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.5; the model learns from the ``labels`` table."""
+    return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that a document of smaller id also has."""
+    return _counted(line_dedup.dedup_lines(docs))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near-duplicates."""
+    return near_dedup.dedup_near(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without strings of 100 bytes that also start earlier."""
+    return _counted(suffix_dedup.dedup_suffixes(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 4096 tokens."""
+    return packing.pieces(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("packing", packing_stage),
+]
+
+# Stages 1, 3, 4 and 5 can't be told in SQL.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

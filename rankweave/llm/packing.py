@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null
+from .common import documents, empty_if_null
 from .tokens import WordEncoder
 
 CAPACITY = 4096
@@ -140,11 +140,14 @@ def pack(
     return rows.mapInArrow(_pack(tokenizer, capacity, group_sequences, quadratic), PIECES)
 
 
-def op9_packing(spark, sf_dir: str) -> DataFrame:
+def pieces(docs: DataFrame) -> DataFrame:
+    """Packed pieces with the public word tokenizer, and the checksum of each in place of its ids."""
     import public_tokenizers
 
-    from .common import documents
-
-    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select(
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "capacity", "cost"
     )
+
+
+def op9_packing(spark, sf_dir: str) -> DataFrame:
+    return pieces(documents(spark, sf_dir))
