@@ -7,12 +7,14 @@ from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op6_near_dedup
 from .packing import op9_packing
+from .piece_encoding import op2_piece_encoding
 from .quality_model import op1_quality_classifier
 from .quality_rules import op8_quality_rules
 from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_piece_encoding": op2_piece_encoding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_near_dedup": op6_near_dedup,
