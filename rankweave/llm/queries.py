@@ -11,10 +11,12 @@ from .piece_encoding import op2_piece_encoding
 from .quality_model import op1_quality_classifier
 from .quality_rules import op8_quality_rules
 from .suffix_dedup import op4_suffix_dedup
+from .token_shards import op3_token_shards
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_piece_encoding": op2_piece_encoding,
+    "op3_token_shards": op3_token_shards,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_near_dedup": op6_near_dedup,

@@ -124,12 +124,26 @@ class WordEncoder:
             yield own
 
 
-# A space between two characters that are no white space: the next token may begin with it.
-WORD_START = re.compile(r"(?<=\S) (?=\S)")
+class _Spaced(dict):
+    """Ids of words with the space before them, as bytes of 16-bit values."""
+
+    def __init__(self, coder):
+        super().__init__()
+        self.encode = coder.encode_ordinary
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("H", self.encode(word)).tobytes()
+        if len(word) < 64:
+            self[word] = ids
+        return ids
 
 
 class ByteEncoder:
-    """Ids of a byte-level tokenizer whose tokens begin at a space or after white space."""
+    """16-bit ids of a byte-level tokenizer whose pattern puts one space before the word after it.
+
+    A text is cut before every space.  That is where its pattern cuts too, unless two spaces
+    follow each other or one ends the text; such a text is encoded whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         import base64
@@ -138,26 +152,46 @@ class ByteEncoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.size = len(ranks)
-        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        if len(ranks) >= 1 << 16:
+            raise ValueError("the vocabulary doesn't fit 16 bits")
+        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.words, self.encode = _Spaced(coder), coder.encode_ordinary
 
     @staticmethod
     @lru_cache(maxsize=2)
     def of(path: str, pattern: str) -> ByteEncoder:
         return ByteEncoder(path, pattern)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 16-bit values."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known, coder, parts = self.known, self.coder, []
-        # A break is put before each such space, so that words come with it.
-        for word in WORD_START.sub("\0 ", text).split("\0") if "\0" not in text else [text]:
-            ids = known.get(word)
-            if ids is None:
-                ids = np.array(coder.encode_ordinary(word), "<u2").tobytes()
-                if len(word) < 64:
-                    known[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
+    def many(self, texts: pa.Array, end: int, sizes_only: bool = False) -> Iterator[np.ndarray] | list[int]:
+        """The ids of each text, ``end`` after the last; or only how many there are."""
+        column = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(column, "  | $|\\x00")
+        whole = {i: self.encode(column[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), " ", "\0 "), "\0")
+        words = split.flatten().dictionary_encode()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        found = [*map(self.words.__getitem__, words.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        which = words.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        if sizes_only:
+            lengths = np.diff(bounds) + 1
+            for i, ids in whole.items():
+                lengths[i] = len(ids) + 1
+            return lengths.tolist()
+        source = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts)
+        source += np.arange(len(source))
+        flat = np.frombuffer(b"".join(found), np.uint16)[source]
+        return self._each(flat, bounds, whole, end)
+
+    @staticmethod
+    def _each(flat: np.ndarray, bounds: np.ndarray, whole: dict[int, list[int]], end: int) -> Iterator[np.ndarray]:
+        for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            ids = whole[i] if i in whole else flat[low:high]
+            own = np.empty(len(ids) + 1, np.uint16)
+            own[:-1] = ids
+            own[-1] = end
+            yield own
