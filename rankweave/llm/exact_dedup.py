@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import scratch, texts_of
+from .common import portions, scratch, texts_of
 from .kernels import SPACES
 
 # Files in a micro-batch.
@@ -36,7 +36,7 @@ def normalised(text: bytes) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         texts = texts_of(batch, "text")
         points = [len(t) if t.isascii() else len(t.decode()) for t in texts]
         digests = [sha256(normalised(t)).digest() for t in texts]
@@ -82,7 +82,11 @@ def run_stream(spark: SparkSession, source: str, state: str, checkpoint: str, te
     def save(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state}/batch={batch}")
 
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    # Without fallocate, which reserves some MB of disk for every partition of the state.
+    with (
+        _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB),
+        _setting(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),
+    ):
         query = (
             states.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start()
@@ -120,7 +124,7 @@ def _hits(bits: np.ndarray):
     """Normalised bytes of texts that may be hits; equal ones of a task's batch only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found: dict[bytes, bytes] = {}
             for text in texts_of(batch, "text"):
                 bare = normalised(text)
