@@ -19,7 +19,7 @@ Texts are shuffled once, by document; everything else that moves is a few number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, key_of, stored
+from .common import documents, fresh, key_of, portions, stored
 from .kernels import BYTE_VALUES, BYTES, U64, Roller, byte_values, mix, per_row, runs, slices
 
 LENGTH = 100
@@ -117,12 +117,11 @@ def _chosen_in_parts(grams: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def multikey_order(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def multikey_order(n: int, tokens: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order by the first token, then, only among equals, by the next; and the run of each.
 
-    Runs number the distinct token strings in sorted order.
+    Equal strings have the same run, which is the place of the first of them.
     """
-    n = len(tokens[0])
     order = np.arange(n)
     run = np.zeros(n, np.int64)
     open_at = np.arange(n)  # places in ``order`` whose string isn't unique so far
@@ -145,7 +144,7 @@ def _suffix_rows(length: int, anchor: int, splitters: list[np.ndarray] | None, t
     """Suffix rows of each text; with ``take`` only that many of each, evenly spaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             keys = batch.column("k").to_numpy()
             out: list[list[np.ndarray]] = [[], [], [], []]
             for low, _, data, offsets in slices(batch.column("text"), SLICE):
@@ -310,7 +309,7 @@ def _contents(text: str, key: str, asked: str, length: int, anchor: int, hot: bo
     """Bytes of the regions asked for; of hot ones two hashes of each window instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text):
             keys = batch.column(key).to_numpy()
             rows, (names, grams, heat) = _asked(batch, asked)
             use = (heat > 0) == hot
@@ -365,7 +364,7 @@ def _compare(length: int):
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = (np.cumsum(sizes) - sizes)[which] + inner
         places = [*range(0, length - 7, 8), length - 8]
-        order, run = multikey_order([token[at + p] for p in places])
+        order, run = multikey_order(len(at), (token[at + p] for p in places))
         key, start = keys[which], starts[which] + inner
         # Of each run of equal windows the earliest stays.
         sort = np.lexsort((start[order], key[order], run))
@@ -416,7 +415,7 @@ def _rebuild(text: str, edits: str, length: int, anchor: int, extra: dict[str, s
     """Drop the covered bytes; ``extra`` names the columns added for counts and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text):
             rows, (a, b) = _asked(batch, edits)
             kept: list[bytes] = []
             counts: list[list[np.ndarray]] = [[], [], []]
