@@ -274,7 +274,7 @@ def _scanned(columns: list[np.ndarray], more: list[np.ndarray] | None = None) ->
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _SCANNED.split(", ")])
 
 
-def _across(spark: SparkSession, scanned: DataFrame) -> DataFrame:
+def _across(spark: SparkSession, scanned: DataFrame, hot: int) -> DataFrame:
     """EDGE rows with what stands next to their bucket: one row of bounds per bucket is read."""
     bounds = sorted(scanned.where(F.col("kind") == BOUNDS).collect(), key=lambda b: b.bucket)
     near = []
@@ -294,7 +294,10 @@ def _across(spark: SparkSession, scanned: DataFrame) -> DataFrame:
     again = goes_on & (F.col("k") != F.col("before_k"))
     shared = has(_SHARED) | has(_IN_FIRST) & F.col("h").eqNullSafe(F.col("before_h")) | has(_IN_LAST) & F.col("h").eqNullSafe(F.col("after_h"))
     kind = F.when(again, EQUAL).when(shared, DIFFERS)
-    return edges.select(kind.alias("kind"), "h", "r", "k", F.lit(1).alias("flags")).where(F.col("kind").isNotNull())
+    # A gram that goes over an edge is known by its EDGE rows alone.  Few can be hot: two per bucket.
+    hot_grams = edges.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(1).alias("hot"))
+    found = edges.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return found.join(F.broadcast(hot_grams), "h", "left").select("kind", "h", "r", "k", F.coalesce("hot", F.lit(0)).alias("flags"))
 
 
 def _asked(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -483,7 +486,7 @@ def dedup_suffixes(
     sorted_buckets = suffixes.repartitionById(buckets, F.col("bucket")).select("h", "r", "k", "p").sortWithinPartitions("h", "r", "k", "p")
     scanned = stored(sorted_buckets.mapInArrow(_scan(hot), _SCANNED), "suffix-neighbours")
 
-    decided = scanned.where(F.col("kind").isin(EQUAL, DIFFERS)).select("kind", "h", "r", "k", "flags").unionByName(_across(spark, scanned))
+    decided = scanned.where(F.col("kind").isin(EQUAL, DIFFERS)).select("kind", "h", "r", "k", "flags").unionByName(_across(spark, scanned, hot))
     wanted = (
         decided.where(F.col("kind") == DIFFERS)
         .groupBy(F.col("k").alias(key))
