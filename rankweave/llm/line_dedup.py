@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import empty_if_null, fresh, key_of, texts_of
+from .common import empty_if_null, fresh, key_of, portions, texts_of
 from .kernels import SPACES
 
 
@@ -30,7 +30,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             keys, owners = [], []
             for owner, text in zip(batch.column("k").to_pylist(), texts_of(batch, "text"), strict=True):
                 own = {line_key(line, min_chars) for line in text.split(b"\n")} - {None}
@@ -84,7 +84,7 @@ def dedup_lines(
 
 def _rebuild(text: str, gone: str, min_chars: int, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text):
             kept, n_lines, n_dropped = [], [], []
             hashes = batch.column(gone).to_pylist()
             originals = batch.column(text).cast(pa.binary()).to_pylist()

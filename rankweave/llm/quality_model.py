@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, empty_if_null, fresh, key_of, with_column
+from .common import documents, empty_if_null, fresh, key_of, portions, with_column
 from .kernels import BYTE_VALUES, BYTES, IS_WORD, U64, mix, per_row, runs, slices
 
 
@@ -129,16 +129,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """The model learned from documents with a label and outside the held-out fold.
 
     Of each class the ``sample_per_class`` smallest by a hash of the id are used, so the one
-    task that trains gets a bounded number of rows.  If only one class is labelled, or none,
-    every score is that class's share, smoothed.
+    task that trains gets a bounded number of rows.  If only one class is labelled, or none, or
+    no labelled document is in ``docs``, every score is the share of class 1, smoothed.
     """
     known = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).select(
         key_of(doc_id).alias("k"), F.col(label).cast("int").alias("y")
     ).groupBy("k").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     bias = np.log([counts.get(0, 0) + 0.5, counts.get(1, 0) + 0.5])
+    shape = (s.buckets, s.dimension)
     if len(counts) < 2:
-        return Model(np.zeros((s.buckets, s.dimension)), np.zeros((s.dimension, 2)), bias)
+        return Model(np.zeros(shape), np.zeros((s.dimension, 2)), bias)
     order = F.xxhash64("k"), F.col("k")
     picks = [known.where(F.col("y") == y).orderBy(*order).limit(s.sample_per_class) for y in (0, 1)]
     picked = picks[0].unionByName(picks[1])  # at most 2 * sample_per_class pairs of numbers
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         rows.select("text", "y").repartition(1).sortWithinPartitions("y", F.xxhash64("text"))
         .mapInArrow(_fit(s, "text", "y"), "vectors binary, weights binary, bias binary").first()
     )
-    shape = (s.buckets, s.dimension)
+    if row is None:  # no labelled document is there
+        return Model(np.zeros(shape), np.zeros((s.dimension, 2)), bias)
     learned = [np.frombuffer(row[c]) for c in ("vectors", "weights", "bias")]
     used = np.log([min(counts[y], s.sample_per_class) for y in (0, 1)])
     return Model(learned[0].reshape(shape), learned[1].reshape(-1, 2), learned[2] + bias - used)
@@ -162,7 +164,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     values, bias = model.values(), float(model.bias[1] - model.bias[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text):
             parts = []
             for _, _, data, offsets in slices(batch.column(text), s.slice_bytes):
                 total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
