@@ -74,7 +74,9 @@ class ReciprocalRankFusion(FusionMethod):
     def fuse(self, search_results):
         def ranks(result: SearchResult) -> DataFrame:
             rank = dense_ranks if result.is_small() else dense_ranks_unbounded
-            return rank(result.df.drop("rank"), result.col(), result.descending()).select("query_id", "id", "rank")
+            # A hit without a number has no place in the list, however long that is.
+            scored = result.df.drop("rank").where(F.col(result.col()).isNotNull())
+            return rank(scored, result.col(), result.descending()).select("query_id", "id", "rank")
 
         # A list without a metric has no order to rank by; an empty one adds nothing.
         lists = [ranks(r) for r in search_results if r.bound != 0]

@@ -21,8 +21,8 @@ from .knn import HIT_SCHEMA, QUERY_BYTES, Best, blocked_knn, collect_queries, dr
 from .knn import unit_rows, vector_matrix
 from .ranking import top_k
 
-# Vectors per cell the training looks at; assignment covers every vector.
-TRAIN_PER_CELL = 256
+# Products of a slice of vectors with all cells that are held at once.
+NEAREST_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -119,21 +119,30 @@ def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
 
 
 def nearest(centroids: np.ndarray, unit_vectors: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` cells closest by cosine, closest first."""
-    return np.argsort(-(unit_vectors @ centroids.T), axis=1, kind="stable")[:, :n]
+    """The ``n`` cells closest by cosine, closest first; compared slice by slice, to bound the memory."""
+    n = min(n, len(centroids))
+    out = np.empty((len(unit_vectors), n), np.int64)
+    step = max(1, NEAREST_CELLS // max(1, len(centroids)))
+    for at in range(0, len(unit_vectors), step):
+        far = -(unit_vectors[at : at + step] @ centroids.T)
+        if n == 1:
+            out[at : at + step, 0] = far.argmin(axis=1)
+            continue
+        some = np.argpartition(far, n - 1, axis=1)[:, :n] if n < far.shape[1] else np.broadcast_to(np.arange(n), far.shape)
+        some = np.sort(some, axis=1)
+        order = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+        out[at : at + step] = np.take_along_axis(some, order, axis=1)
+    return out
 
 
 def build_ivf(vectors: DataFrame, n_cells: int, *, seed: int = 42, max_iter: int = 10) -> IvfIndex:
-    """Learn the cells on a sample and assign every vector to its nearest one.
+    """Learn the cells from all vectors and assign every vector to its nearest one.
 
     Vectors without a direction (all zeros) match no query and get no cell.
     """
     some = F.exists("vec", lambda x: x != 0)
     rows = vectors.filter(F.col("vec").isNotNull() & some).select("id", "vec")
-    share = min(1.0, n_cells * TRAIN_PER_CELL / max(1, vectors.count()))
-    # The same rows whatever task reads them.
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    trained = (rows.filter(draw) if share < 1 else rows).select(array_to_vector("vec").alias("features"))
+    trained = rows.select(array_to_vector("vec").alias("features"))
     means = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(trained)
     centroids = unit_rows(np.array(means.clusterCenters()))
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)

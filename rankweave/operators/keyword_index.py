@@ -8,14 +8,14 @@ adding documents adds rows, readers sum them, and no row is ever rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..plans.queryset import QuerySet
+from .sizing import Size
 
 WHOLE = "*"
 # No token is empty, so this stands for the document itself.
@@ -38,8 +38,19 @@ class KeywordIndex:
     buckets: int = 1
     analyzer: str = "simple"
     stop_words: tuple[str, ...] | None = None
-    # Holds the terms of the queries at hand and no others.
-    restricted: bool = False
+    # Of an index computed when it is read: the index of given terms alone.
+    narrow: Callable[[DataFrame], KeywordIndex] | None = None
+    narrowed: bool = False
+
+    def for_terms(self, terms: DataFrame, size: Size) -> KeywordIndex:
+        """This index for the given query terms; only the search that has them may use it.
+
+        A narrowed index shuffles no other words.  Terms too large to broadcast leave the
+        index whole, and the join with them selects the same postings.
+        """
+        if self.narrow is None or not size.fits():
+            return self
+        return self.narrow(terms.select("term").distinct())
 
     def totals(self) -> Column:
         """Field to ``(n, total_len)``, one small map for the whole plan."""
@@ -117,13 +128,11 @@ def derive_index(
     *,
     analyzer: str = "simple",
     stop_words: Sequence[str] | None = None,
-    queries: QuerySet | None = None,
 ) -> KeywordIndex:
-    """An index computed when it is read, for a batch of queries on fresh text.
+    """An index computed when it is read, for searches on fresh text.
 
-    ``queries`` cuts the words, as long as their terms fit a broadcast, so that
-    only words some query asks for are shuffled; counts and totals stay those
-    of all text.
+    A search narrows it to the words its queries ask for (``for_terms``), so that no
+    other words are shuffled; counts and totals stay those of all text.
 
     The text is tokenized once: every document sends its length along as one
     more word, and the three tables read the same exchange.  What tells them
@@ -131,14 +140,17 @@ def derive_index(
     the exchange.  Words are spread by document, which the scoring needs too.
     """
     words = posting_rows(counted_words(docs, fields, analyzer, stop_words), mark_documents=True)
-    restricted = False
-    if queries is not None:
-        terms, size = queries.terms(analyzer, stop_words)
-        restricted = size.fits()
-    if restricted:
+    spelled = tuple(fields), 1, analyzer, _words(stop_words)
+
+    def narrow(terms: DataFrame) -> KeywordIndex:
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
-        wanted = terms.select("term").distinct().union(mark)
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
+        wanted = words.join(F.broadcast(terms.union(mark)), "term", "left_semi")
+        return KeywordIndex(*_derived(wanted), *spelled, narrowed=True)
+
+    return KeywordIndex(*_derived(words), *spelled, narrow=narrow)
+
+
+def _derived(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counted = words.repartition("id").groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
     postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
     totals = (
@@ -146,9 +158,7 @@ def derive_index(
         .groupBy("field")
         .agg(F.count("*").alias("n"), F.sum("dl").alias("total_len"), F.sum("dl").alias("n_postings"))
     )
-    return KeywordIndex(
-        postings, term_counts(postings), totals, tuple(fields), 1, analyzer, _words(stop_words), restricted
-    )
+    return postings, term_counts(postings), totals
 
 
 def save_index(

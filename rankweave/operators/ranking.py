@@ -34,7 +34,7 @@ def dense_ranks(df: DataFrame, value: str, descending: bool, rank: str = "rank")
 
 
 def dense_ranks_unbounded(df: DataFrame, value: str, descending: bool, rank: str = "rank") -> DataFrame:
-    """Dense rank for lists of any length.
+    """Dense rank for lists of any length; like the other form, of values that aren't null.
 
     The rank of a value is the number of distinct values before it.  Distinct
     values are counted per thousandth: values rounded to six places leave at
@@ -45,7 +45,6 @@ def dense_ranks_unbounded(df: DataFrame, value: str, descending: bool, rank: str
     levels = df.groupBy("query_id", value).agg(
         F.floor(F.col(value) * (1000 * sign)).cast("bigint").alias("_slice")
     )
-    levels = levels.filter(F.col(value).isNotNull())
     slices = levels.groupBy("query_id", "_slice").agg(F.count("*").alias("_n"))
     before = W.partitionBy("query_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -34,14 +34,20 @@ def term_overlap(query_tokens: Column, doc_tokens: Column) -> Column:
     return F.when(F.size(asked) > 0, shared / F.size(asked)).otherwise(0.0)
 
 
-def overlap_scorer(max_tokens: int | None = None) -> PairScorer:
-    """Term overlap of two texts; ``max_tokens`` is the input size of the model."""
+def overlap_scorer(max_tokens: int | None = None, *, truncate: bool = False) -> PairScorer:
+    """Term overlap of two texts; ``max_tokens`` is the input size of the model.
+
+    A longer document counts by its best window of that size, or with ``truncate`` by its first.
+    """
 
     def score(query: Column, doc: Column) -> Column:
-        tokens = tokenize(doc)
-        if max_tokens is not None:
-            tokens = F.slice(tokens, 1, max_tokens)
-        return term_overlap(tokenize(query), tokens)
+        asked, tokens = tokenize(query), tokenize(doc)
+        if max_tokens is None:
+            return term_overlap(asked, tokens)
+        if truncate:
+            return term_overlap(asked, F.slice(tokens, 1, max_tokens))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(max_tokens))
+        return F.array_max(F.transform(starts, lambda i: term_overlap(asked, F.slice(tokens, i, F.lit(max_tokens)))))
 
     return score
 
@@ -102,17 +108,22 @@ class PairReranker(Reranker):
 
 
 class TruncatedPairReranker(PairReranker):
-    """Pair scoring by a model that reads at most ``max_length`` document tokens."""
+    """Pair scoring by a model that reads at most ``max_length`` document tokens at a time.
+
+    All windows of a document are scored and the best one counts; ``truncate`` reads only
+    the first.
+    """
 
-    def __init__(self, documents: DataFrame, *, max_length: int = 1024, **options):
-        super().__init__(documents, overlap_scorer(max_length), **options)
+    def __init__(self, documents: DataFrame, *, max_length: int = 1024, truncate: bool = False, **options):
+        super().__init__(documents, overlap_scorer(max_length, truncate=truncate), **options)
         self.max_length = max_length
 
 
 class MaxSimReranker(Reranker):
     """Late interaction: best match per query token, summed over the query.
 
-    ``token_vectors(key, vec)`` maps tokens to vectors through ``token_key``.
+    ``token_vectors(key, vec)`` maps tokens to vectors through ``token_key``; rows without a
+    key or vector are left out, and of a repeated key the largest vector counts.
     A repeated document token cannot change a maximum, so documents send each
     key once and whole; a repeated query token counts each time.
     """
@@ -129,7 +140,8 @@ class MaxSimReranker(Reranker):
         table_bytes: int = TABLE_BYTES,
     ):
         self.documents = documents
-        self.token_vectors = token_vectors
+        known = token_vectors.where(F.col("key").isNotNull() & F.col("vec").isNotNull())
+        self.token_vectors = known.groupBy("key").agg(F.max("vec").alias("vec"))
         self.dimension = dimension
         self.max_count = max_count
         self.token_key = token_key or (lambda token: token)

@@ -61,11 +61,11 @@ class BM25Searcher(BaseSearcher):
         self.idf_base = idf_base
         self.digits = digits
 
-    def weights(self, terms: DataFrame, size: Size) -> DataFrame:
+    def weights(self, index: KeywordIndex, terms: DataFrame, size: Size) -> DataFrame:
         """``(query_id, field, term, weight, avg_len)`` for the terms that occur."""
         fits = size.fits()
-        seen = self.index.term_stats
-        if not self.index.restricted:
+        seen = index.term_stats
+        if not index.narrowed:
             seen = seen.join(broadcast_if(terms.select("term").distinct(), fits), "term", "left_semi")
         counts = seen.groupBy("field", "term").agg(F.sum("df").alias("df"))
         if fits:
@@ -73,7 +73,7 @@ class BM25Searcher(BaseSearcher):
         else:
             # A common word may be in a third of the queries.
             known = salted_join(terms, counts, ["term"], F.col("query_id"))
-        known = known.withColumn("sums", F.element_at(self.index.totals(), F.col("field")))
+        known = known.withColumn("sums", F.element_at(index.totals(), F.col("field")))
         n, df = F.col("sums.n"), F.col("df")
         ratio = 1 + (n - df + 0.5) / (df + 0.5)
         idf = F.ln(ratio) if self.idf_base is None else F.ln(ratio) / F.ln(F.lit(float(self.idf_base)))
@@ -89,12 +89,13 @@ class BM25Searcher(BaseSearcher):
     def search(self, queries):
         queries = as_queries(queries)
         terms, size = queries.terms(self.index.analyzer, self.index.stop_words)
-        weights = self.weights(terms, size)
-        n_fields = len(self.index.fields)
+        index = self.index.for_terms(terms, size)
+        weights = self.weights(index, terms, size)
+        n_fields = len(index.fields)
         if Size(size.rows * n_fields, size.bytes * n_fields).fits():
-            matches = self._spread(terms).join(F.broadcast(weights), ["field", "term"])
+            matches = self._spread(index, terms).join(F.broadcast(weights), ["field", "term"])
         else:
-            matches = self._salted(weights)
+            matches = self._salted(index, weights)
         damp = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avg_len"))
         part = F.rint(F.col("weight") * F.col("tf") / damp * SCORE_UNIT).cast("bigint")
         scored = matches.groupBy("query_id", "id").agg(F.sum(part).alias("units"))
@@ -109,26 +110,26 @@ class BM25Searcher(BaseSearcher):
         )
 
 
-    def _spread(self, terms: DataFrame) -> DataFrame:
+    def _spread(self, index: KeywordIndex, terms: DataFrame) -> DataFrame:
         """The postings of the query terms, with every document in one task.
 
         A posting is shuffled once, however many queries ask for its term, and
         the sum per query and document needs no further shuffle.
         """
-        if self.index.restricted:
-            return self.index.postings
+        if index.narrowed:
+            return index.postings
         # No token is empty; a filtered side lets Spark prune the buckets at run time.
         wanted = terms.filter(F.length("term") > 0).select("term").distinct()
-        wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), self.index.buckets))
-        found = self.index.postings.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
+        wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+        found = index.postings.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
         return found.repartition("id")
 
-    def _salted(self, weights: DataFrame) -> DataFrame:
+    def _salted(self, index: KeywordIndex, weights: DataFrame) -> DataFrame:
         """More query terms than a broadcast holds: join by term, splitting hot ones."""
-        hot = F.broadcast(self.index.hot_terms())
+        hot = F.broadcast(index.hot_terms())
         salts = F.coalesce("salts", F.lit(1))
         on = ["field", "term"]
-        split = self.index.postings.join(hot, on, "left").withColumn(
+        split = index.postings.join(hot, on, "left").withColumn(
             "salt", F.pmod(F.xxhash64("id"), salts).cast("int")
         )
         copies = weights.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,24 @@ class Inputs:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def entries(self) -> DataFrame:
-        """Documents as newsletter entries, with nulls in every optional column."""
-        doc_id = F.col("doc_id")
+        """Documents as newsletter entries, dealt to all issues."""
+        return self._entries(lambda step, value: value, 0)
 
-        def unless(step: int, value: Column) -> Column:
-            return F.when(doc_id % step != 0, value)
+    def entries_with_gaps(self) -> DataFrame:
+        """The same with nulls in every optional column, and some issues that don't exist."""
+        doc_id = F.col("doc_id")
+        return self._entries(lambda step, value: F.when(doc_id % step != 0, value), 7)
 
+    def _entries(self, unless: Callable[[int, Column], Column], unknown_issues: int) -> DataFrame:
+        doc_id = F.col("doc_id")
+        n_issues = self.table("pages").agg(F.count("*")).scalar() + unknown_issues
         link = F.concat(
             F.lit("https://"), "source", F.lit(".example.com/doc/"), doc_id, F.lit("?ref="), "lang"
         )
         main_link = unless(7, link)
         return self.table("documents").select(
             doc_id.alias("id"),
-            (doc_id % 300).cast("int").alias("issue_id"),
+            (doc_id % n_issues).cast("int").alias("issue_id"),
             F.substring_index("text", "\n", 1).alias("title"),
             unless(5, F.col("source")).alias("author"),
             unless(11, F.col("text")).alias("content"),
@@ -52,9 +59,9 @@ class Inputs:
         return self.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
     def hybrid_queries(self) -> DataFrame:
-        """Each query text with the vector of the same number."""
+        """Each query text with the vector of the same number, null if there is none."""
         vecs = self.table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-        return self.queries().join(vecs, "query_id")
+        return self.queries().join(vecs, "query_id", "left")
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(

@@ -16,7 +16,12 @@ def tokens(col: str) -> str:
 
 PARTS: dict[str, str] = {
     "entries": """
-        SELECT doc_id AS id, (doc_id % 300)::INTEGER AS issue_id,
+        SELECT doc_id AS id, (doc_id % (SELECT count(*) FROM pages))::INTEGER AS issue_id,
+               string_split(text, chr(10))[1] AS title, source AS author, text AS content,
+               concat('https://', source, '.example.com/doc/', doc_id, '?ref=', lang) AS main_link, lang AS tag
+        FROM documents""",
+    "gaps": """
+        SELECT doc_id AS id, (doc_id % (SELECT count(*) + 7 FROM pages))::INTEGER AS issue_id,
                string_split(text, chr(10))[1] AS title,
                CASE WHEN doc_id % 5 <> 0 THEN source END AS author,
                CASE WHEN doc_id % 11 <> 0 THEN text END AS content,
@@ -30,6 +35,10 @@ PARTS: dict[str, str] = {
         SELECT id, concat(title, chr(10), coalesce(author, ''), chr(10), coalesce(content, ''), chr(10),
                           coalesce(tag, '')) AS doc
         FROM entries""",
+    "docs_with_gaps": """
+        SELECT id, concat(title, chr(10), coalesce(author, ''), chr(10), coalesce(content, ''), chr(10),
+                          coalesce(tag, '')) AS doc
+        FROM gaps""",
     "queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     # Whole-document index.
     "doc_tokens": f"SELECT id, {tokens('doc')} AS words FROM docs",
@@ -115,11 +124,8 @@ ranked("bm25f_50", "bm25f", 50)
 ranked("knn_50", "knn", 50)
 ranked("far_50", "knn_far", 50, "distance, id")
 ranked("text_20", "text_knn", 20)
-# Keyword lists of the hybrid searches hold the queries that have a vector.
-PARTS["hybrid_bm25"] = "SELECT query_id, id, score FROM bm25 WHERE query_id IN (SELECT query_id FROM asked)"
-PARTS["hybrid_bm25f"] = "SELECT query_id, id, score FROM bm25f WHERE query_id IN (SELECT query_id FROM asked)"
-ranked("list_a", "hybrid_bm25", 50)
-ranked("list_f", "hybrid_bm25f", 50)
+ranked("list_a", "bm25", 50)
+ranked("list_f", "bm25f", 50)
 
 
 def chain(name: str, first: str, second: str, value: str, order: str) -> None:
@@ -145,14 +151,14 @@ def rrf(name: str, first: str, second: str, formula: str) -> None:
 
 rrf("fused", "list_a", "knn_50", "sum(1.0::DOUBLE / (60 + place))")
 rrf("fused_inv", "list_a", "knn_50", "1.0::DOUBLE / sum(60 + place)")
-rrf("fused_all", "hybrid_bm25", "knn_50", "sum(1.0::DOUBLE / (60 + place))")
+rrf("fused_all", "bm25", "knn_50", "sum(1.0::DOUBLE / (60 + place))")
 ranked("fused_50", "fused", 50)
 ranked("fused_inv_50", "fused_inv", 50)
 
 
-def overlap(name: str, hits: str, cut: str = "words") -> None:
+def overlap(name: str, hits: str) -> None:
     """Share of the distinct query terms among the document's terms."""
-    PARTS[name + "_sets"] = f"SELECT id, list_distinct({cut}) AS have FROM doc_tokens"
+    PARTS[name + "_sets"] = "SELECT id, list_distinct(words) AS have FROM doc_tokens"
     PARTS[name] = f"""
         SELECT h.query_id, h.id, round(count(*) FILTER (WHERE list_contains(have, term)) / count(*), 6) AS score
         FROM {hits} h JOIN {name}_sets USING (id) JOIN query_sets s ON s.query_id = h.query_id
@@ -160,7 +166,17 @@ def overlap(name: str, hits: str, cut: str = "words") -> None:
 
 
 overlap("paired", "bm25_20")
-overlap("paired_cut", "bm25_20", "words[1:1024]")
+# The best window of 128 words.
+PARTS["doc_windows"] = """
+    SELECT id, (generate_subscripts(words, 1) - 1) // 128 AS part, unnest(words) AS term FROM doc_tokens"""
+PARTS["query_sizes_in_terms"] = "SELECT query_id, count(*) AS terms FROM query_sets GROUP BY query_id"
+PARTS["window_shares"] = """
+    SELECT h.query_id, h.id, w.part, count(DISTINCT s.term) AS shared
+    FROM bm25_20 h JOIN query_sets s ON s.query_id = h.query_id JOIN doc_windows w ON w.id = h.id AND w.term = s.term
+    GROUP BY ALL"""
+PARTS["paired_cut"] = """
+    SELECT query_id, id, round(max(shared) / any_value(terms), 6) AS score
+    FROM window_shares JOIN query_sizes_in_terms USING (query_id) GROUP BY query_id, id"""
 overlap("paired_fused", "fused")
 overlap("paired_chain", "chained_f")
 
@@ -225,7 +241,8 @@ CATALOG = """
             CASE WHEN o_orderstatus = 'O' THEN 'https://other.example/' ELSE 'https://weekly.example/issues/' END
               || o_orderkey AS url
      FROM orders WHERE o_orderpriority <> '5-LOW')"""
-LINKS = "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
+HREFS = r"""regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+LINKS = f"""list_transform({HREFS}, lambda h: replace(replace(replace(trim(h, chr(34) || chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
 EXTRACT = """
     SELECT doc_id * 4294967296 + pos AS id, doc_id::INTEGER AS issue_id, title, author, content, main_link,
            other_links, tag
@@ -260,7 +277,6 @@ ORACLES: dict[str, str] = {
     "knn_exact": every("knn_50"),
     "knn_distance": every("far_50"),
     "knn_text": every("text_20"),
-    "null_searcher": "SELECT item_id AS query_id, 0::BIGINT AS id, 0.0::DOUBLE AS score FROM benchmark WHERE false",
     "fuse_chain": sql("""
         SELECT query_id, id, score,
                (row_number() OVER (PARTITION BY query_id ORDER BY source, place, id))::INTEGER AS rank
@@ -272,13 +288,13 @@ ORACLES: dict[str, str] = {
     "rerank_pair": every(ranked("paired_20", "paired", 20)),
     "rerank_pair_truncated": every(ranked("paired_cut_20", "paired_cut", 20)),
     "rerank_maxsim": every(ranked("late_20", "late", 20)),
-    "documents_view": every("docs"),
+    "documents_view": every("docs_with_gaps"),
     "catalog_parse": f"SELECT id, publish_date, url FROM {CATALOG}",
     "catalog_quarantine": """
         SELECT 'Issue ' || o_orderkey || ': unknown' AS line,
                CASE WHEN o_orderstatus = 'O' THEN 'https://other.example/' ELSE '/issues/' END || o_orderkey AS href
         FROM orders WHERE o_orderpriority = '5-LOW'""",
-    "tag_extract": sql("SELECT id, tag, coalesce(author, 'nobody') AS author FROM entries"),
+    "tag_extract": sql("SELECT id, tag, coalesce(author, 'nobody') AS author FROM gaps"),
     "url_strip_query": r"SELECT page_id, regexp_replace(url, '\?[^#]*', '') AS url FROM pages",
     "url_join": f"""
         SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href
@@ -291,10 +307,10 @@ ORACLES: dict[str, str] = {
         FROM (SELECT page_id, {LINKS} AS l FROM pages)""",
     "links_minus_main": sql("""
         SELECT id, unnest([0, 1])::INTEGER AS pos, unnest(['https://x.example/' || id, main_link]) AS link
-        FROM entries WHERE main_link IS NOT NULL
+        FROM gaps WHERE main_link IS NOT NULL
         UNION ALL
         SELECT id, unnest([0, 1, 2])::INTEGER, unnest([NULL, 'https://x.example/' || id, NULL])
-        FROM entries WHERE main_link IS NULL"""),
+        FROM gaps WHERE main_link IS NULL"""),
     "entries_extract": "WITH base AS (SELECT *, string_split(text, chr(10))[1] AS line FROM documents)" + EXTRACT,
     "pages_quarantine": "SELECT doc_id AS issue_id FROM documents WHERE doc_id % 4 = 3",
     "ingest_new": sql("SELECT id, issue_id, title FROM entries WHERE id NOT IN (SELECT doc_id FROM labels)"),
@@ -307,6 +323,7 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT id, issue_id, title, author, content, NULL, NULL
         FROM entries WHERE id NOT IN (SELECT doc_id FROM labels)"""),
+    "entry_orphans": sql("SELECT id, issue_id FROM gaps WHERE issue_id NOT IN (SELECT page_id FROM pages)"),
     "issue_counts": sql("""
         SELECT i.id, publish_date, url, count(e.id)::INTEGER AS num_entries
         FROM issues i LEFT JOIN entries e ON e.issue_id = i.id GROUP BY ALL"""),

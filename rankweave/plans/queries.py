@@ -14,7 +14,7 @@ from ..operators.fusion import ChainFusion, ReciprocalRankFusion
 from ..operators.ivf import build_ivf, recall
 from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_index
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
-from ..operators.searchers import BM25Searcher, FieldBM25Searcher, NullSearcher, VectorSearcher
+from ..operators.searchers import BM25Searcher, FieldBM25Searcher, VectorSearcher
 from ..sources import catalog, pages, store
 from .inputs import BASE_URL, Inputs
 from .queryset import QuerySet, as_queries
@@ -35,20 +35,20 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     return fn
 
 
-def document_index(t: Inputs, queries: QuerySet | None = None, analyzer: str = "simple") -> KeywordIndex:
-    return derive_index(schema.documents(t.entries()), {WHOLE: "doc"}, analyzer=analyzer, queries=queries)
+def document_index(t: Inputs, analyzer: str = "simple") -> KeywordIndex:
+    return derive_index(schema.documents(t.entries()), {WHOLE: "doc"}, analyzer=analyzer)
 
 
-def field_index(t: Inputs, queries: QuerySet | None = None) -> KeywordIndex:
-    return derive_index(t.entries(), {f: f for f in TEXT_FIELDS}, queries=queries)
+def field_index(t: Inputs) -> KeywordIndex:
+    return derive_index(t.entries(), {f: f for f in TEXT_FIELDS})
 
 
-def keyword_searcher(t: Inputs, queries: QuerySet, max_count: int | None = CANDIDATES) -> BM25Searcher:
-    return BM25Searcher(document_index(t, queries), max_count)
+def keyword_searcher(t: Inputs, max_count: int | None = CANDIDATES) -> BM25Searcher:
+    return BM25Searcher(document_index(t), max_count)
 
 
-def field_searcher(t: Inputs, queries: QuerySet) -> FieldBM25Searcher:
-    return FieldBM25Searcher(field_index(t, queries), CANDIDATES)
+def field_searcher(t: Inputs) -> FieldBM25Searcher:
+    return FieldBM25Searcher(field_index(t), CANDIDATES)
 
 
 def vector_searcher(t: Inputs, **options) -> VectorSearcher:
@@ -61,12 +61,12 @@ def n_cells(t: Inputs) -> int:
 
 def two_lists(t: Inputs) -> tuple[QuerySet, list[SearchResult]]:
     asked = as_queries(t.hybrid_queries())
-    return asked, [keyword_searcher(t, asked).search(asked), vector_searcher(t).search(asked)]
+    return asked, [keyword_searcher(t).search(asked), vector_searcher(t).search(asked)]
 
 
 def keyword_hits(t: Inputs, max_count: int = FINAL) -> tuple[QuerySet, SearchResult]:
     asked = as_queries(t.queries())
-    return asked, keyword_searcher(t, asked, max_count).search(asked)
+    return asked, keyword_searcher(t, max_count).search(asked)
 
 
 # Keyword index
@@ -105,19 +105,19 @@ def bm25_document(t):
 @query
 def bm25_document_all(t):
     asked = as_queries(t.queries())
-    return keyword_searcher(t, asked, None).search(asked).df
+    return keyword_searcher(t, None).search(asked).df
 
 
 @query
 def bm25_fields(t):
     asked = as_queries(t.queries())
-    return field_searcher(t, asked).search(asked).ranked(CANDIDATES)
+    return field_searcher(t).search(asked).ranked(CANDIDATES)
 
 
 @query
 def bm25_english(t):
     asked = as_queries(t.queries())
-    index = document_index(t, asked, "english")
+    index = document_index(t, "english")
     return BM25Searcher(index, CANDIDATES, idf_base=10).search(asked).ranked(CANDIDATES)
 
 
@@ -152,11 +152,6 @@ def ann_recall(t):
     return recall(near, vector_searcher(t).search(asked).ranked(10))
 
 
-@query
-def null_searcher(t):
-    return NullSearcher().search(t.queries()).df
-
-
 # Fusion
 
 
@@ -181,7 +176,7 @@ def fuse_rrf_inverse_sum(t):
 def fuse_rrf_all(t):
     """A keyword list without a limit, ranked in slices."""
     asked = as_queries(t.hybrid_queries())
-    lists = [keyword_searcher(t, asked, None).search(asked), vector_searcher(t).search(asked)]
+    lists = [keyword_searcher(t, None).search(asked), vector_searcher(t).search(asked)]
     return ReciprocalRankFusion().fuse(lists).df
 
 
@@ -203,7 +198,7 @@ def rerank_pair(t):
 @query
 def rerank_pair_truncated(t):
     asked, hits = keyword_hits(t)
-    return TruncatedPairReranker(schema.documents(t.entries())).rerank(asked, hits).ranked(FINAL)
+    return TruncatedPairReranker(schema.documents(t.entries()), max_length=128).rerank(asked, hits).ranked(FINAL)
 
 
 def max_sim(t: Inputs) -> MaxSimReranker:
@@ -229,7 +224,7 @@ def retrieve(t):
 def hybrid_search(t: Inputs) -> DataFrame:
     asked = as_queries(t.hybrid_queries())
     search = create_search_fn(
-        [keyword_searcher(t, asked), vector_searcher(t)],
+        [keyword_searcher(t), vector_searcher(t)],
         fusion_method=ReciprocalRankFusion(),
         reranker=PairReranker(schema.documents(t.entries())),
     )
@@ -248,7 +243,7 @@ def hybrid_chain_fields(t):
     cells = n_cells(t)
     index = build_ivf(t.vectors(), cells, max_iter=5)
     search = create_search_fn(
-        [field_searcher(t, asked), vector_searcher(t, use_index=True, index=index, nprobe=cells)],
+        [field_searcher(t), vector_searcher(t, use_index=True, index=index, nprobe=cells)],
         fusion_method=ChainFusion(),
         reranker=PairReranker(schema.documents(t.entries())),
     )
@@ -260,7 +255,7 @@ def hybrid_chain_maxsim(t):
     """Keyword and vector search, chained, reranked by late interaction, retrieved."""
     asked = as_queries(t.hybrid_queries())
     search = create_search_fn(
-        [keyword_searcher(t, asked), vector_searcher(t)], fusion_method=ChainFusion(), reranker=max_sim(t)
+        [keyword_searcher(t), vector_searcher(t)], fusion_method=ChainFusion(), reranker=max_sim(t)
     )
     return search(asked).retrieve(t.entries(), t.issues(), FINAL)
 
@@ -278,7 +273,7 @@ def result_links(t):
 
 @query
 def documents_view(t):
-    return schema.documents(t.entries())
+    return schema.documents(t.entries_with_gaps())
 
 
 @query
@@ -294,7 +289,7 @@ def catalog_quarantine(t):
 @query
 def tag_extract(t):
     text = F.concat(F.coalesce("author", F.lit("nobody")), F.coalesce(F.concat(F.lit(" #"), "tag"), F.lit("")))
-    rows = t.entries().select("id", F.trim(text).alias("text"))
+    rows = t.entries_with_gaps().select("id", F.trim(text).alias("text"))
     return rows.select(
         "id", pages.metadata_tag(F.col("text")).alias("tag"), pages.metadata_author(F.col("text")).alias("author")
     )
@@ -326,7 +321,7 @@ def page_links(t):
 @query
 def links_minus_main(t):
     rest = remove_first(F.col("other_links"), F.col("main_link"))
-    return t.entries().select("id", F.posexplode_outer(rest).alias("pos", "link"))
+    return t.entries_with_gaps().select("id", F.posexplode_outer(rest).alias("pos", "link"))
 
 
 @query
@@ -362,6 +357,12 @@ def ingest_union(t):
     return store.append_by_name(batch, target).drop("other_links")
 
 
+@query
+def entry_orphans(t):
+    """Entries of issues that don't exist."""
+    return store.new_keys(t.entries_with_gaps(), t.issues().select(F.col("id").alias("issue_id")), "issue_id").select("id", "issue_id")
+
+
 @query
 def issue_counts(t):
     return pages.entry_counts(t.issues(), t.entries())

@@ -1,15 +1,19 @@
-"""Extraction from raw pages: titles and links in the JVM, entries in Arrow batches."""
+"""Extraction from raw pages, all of it as column expressions.
+
+Elements are found by pattern, not by building a tree: an element goes from its opening tag
+to the first closing tag of its kind.  That is exact for elements that hold none of their own
+kind.  Pages whose tables are nested or don't close are therefore left to the quarantine.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .layouts import read_entries
+from ..functions.urls import remove_first, strip_query
 
 TEXT = T.StringType()
 ENTRIES = T.ArrayType(
@@ -21,15 +25,141 @@ ENTRIES = T.ArrayType(
 # Entry positions inside a page stay below this, so ids never meet.
 IDS_PER_ISSUE = 1 << 32
 
+# The character references that pages use; the ampersand's comes last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+TITLED = r"""(?is)<a\b[^>]*?\stitle\s*=[^>]*>.*?</a\s*>"""
+CONTENT = r"""(?is)<div\b[^>]*?\sid\s*=\s*["']?content["'\s>].*"""
+
 
 def page_title(html: Column) -> Column:
     """Raw text of the first title element, empty where there is none."""
     return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
 
 
+def decoded(text: Column) -> Column:
+    """Character references as the characters they stand for."""
+    for written, meant in REFERENCES.items():
+        text = F.replace(text, F.lit(written), F.lit(meant))
+    return text
+
+
 def page_links(html: Column) -> Column:
-    """Every href of an anchor, in page order."""
-    return F.regexp_extract_all(html, F.lit(r"<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1))
+    """Every href of an anchor, decoded, in page order."""
+    found = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(found, lambda v: decoded(F.regexp_replace(v, r"""^["']|["']$""", "")))
+
+
+def element(name: str, css_class: str) -> str:
+    """A pattern for an element of a class; group 1 is what it holds."""
+    word = rf"""(?:"(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'|{css_class}(?=[\s>]))"""
+    return rf"(?is)<{name}\b[^>]*?\sclass\s*=\s*{word}[^>]*>(.*?)</{name}\s*>"
+
+
+def all_of(fragment: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(fragment, F.lit(pattern), F.lit(0))
+
+
+def held_by(fragment: Column, pattern: str) -> Column:
+    """What the first match holds; null without one."""
+    return F.when(fragment.rlike(pattern), F.regexp_extract(fragment, pattern, 1))
+
+
+def text_of(fragment: Column) -> Column:
+    return decoded(F.regexp_replace(fragment, r"(?s)<[^>]*>", ""))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def without_start(text: Column, start: Column) -> Column:
+    rest = F.substring(text, F.length(start) + 1, F.length(text))
+    return F.when(F.startswith(text, start), rest).otherwise(text)
+
+
+def without_end(text: Column, end: Column) -> Column:
+    rest = F.substring(text, F.lit(1), F.length(text) - F.length(end))
+    return F.when(F.endswith(text, end), rest).otherwise(text)
+
+
+def no_links() -> Column:
+    return F.array().cast("array<string>")
+
+
+def entry(fits: Column, **fields: Column) -> Column:
+    """An entry, or null if the item hasn't what its layout needs."""
+    parts = []
+    for field in ENTRIES.elementType.fields:
+        value = fields.get(field.name, F.lit(None))
+        parts.append(value.cast(field.dataType).alias(field.name))
+    return F.when(fits, F.struct(*parts))
+
+
+def described_item(item: Column) -> Column:
+    """A description with a marked link, or one line of link and name."""
+    desc = held_by(item, element("p", "desc"))
+    name = F.coalesce(held_by(item, element("p", "name")), held_by(desc, element("span", "name")))
+    author, content, links = text_of(name), stripped(text_of(desc)), page_links(item)
+    marked = held_by(desc, element("span", "mainlink"))
+    title, target = text_of(marked), F.get(page_links(marked), F.lit(0))
+    long = entry(
+        desc.isNotNull() & target.isNotNull(),
+        title=title,
+        author=author,
+        content=without_start(without_start(content, title), F.lit(" — ")),
+        main_link=target,
+        other_links=remove_first(links, target),
+    )
+    single = F.size(links) == 1
+    line = entry(
+        desc.isNotNull() & author.isNotNull(),
+        title=stripped(without_end(content, author)),
+        author=author,
+        main_link=F.when(single, F.get(links, F.lit(0))),
+        other_links=F.when(single, no_links()).otherwise(links),
+    )
+    return F.when(marked.isNotNull(), long).otherwise(line)
+
+
+def primary_item(item: Column) -> Column:
+    """A primary link, the first division that opens after it, and a cell of metadata."""
+    link = element("a", "primary")
+    after = F.regexp_extract(item, link + "(.*)", 2)
+    body = held_by(after, r"(?is)<div\b[^>]*>(.*?)</div\s*>")
+    meta = stripped(text_of(held_by(item, element("td", "metadata"))))
+    opened = F.regexp_extract(item, link, 0)
+    return entry(
+        item.rlike(link) & body.isNotNull() & meta.isNotNull(),
+        title=text_of(held_by(item, link)),
+        author=metadata_author(meta),
+        content=text_of(body),
+        main_link=strip_query(F.get(page_links(opened), F.lit(0))),
+        other_links=F.transform(page_links(body), strip_query),
+        tag=metadata_tag(meta),
+    )
+
+
+def titled_rows(table: Column) -> Column:
+    """Entries of the titled links in a table: text in the row after theirs, author in the next."""
+    rows = all_of(table, r"(?is)<tr\b[^>]*>.*?</tr\s*>")
+
+    def of_row(row: Column, i: Column) -> Column:
+        text_row, author_row = F.get(rows, i + 1), F.get(rows, i + 2)
+
+        def of_link(link: Column) -> Column:
+            return entry(
+                F.lit(True),
+                title=text_of(link),
+                author=text_of(author_row),
+                content=text_of(text_row),
+                main_link=strip_query(F.get(page_links(link), F.lit(0))),
+                other_links=F.coalesce(F.transform(page_links(text_row), strip_query), no_links()),
+            )
+
+        return F.transform(all_of(row, TITLED), of_link)
+
+    return F.flatten(F.transform(rows, of_row))
 
 
 def metadata_tag(text: Column) -> Column:
@@ -51,20 +181,46 @@ def metadata_author(text: Column) -> Column:
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Pages ``(issue_id, html, ...)`` with ``entries`` and ``error`` for ``html``.
 
-    ``entries`` is null exactly where no layout could read the page; ``error``
-    then says why.  A page that holds nothing gives an empty array.
+    Three layouts are tried, and the first that fits every item of the page wins.  ``entries``
+    is null exactly where none does; ``error`` then says why.  A page that holds nothing gives
+    an empty array.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            read = [read_entries(html) for html in batch["html"]]
-            entries = pd.Series([entries for entries, _ in read], index=batch.index, dtype=object)
-            errors = pd.Series([error for _, error in read], index=batch.index, dtype=object)
-            yield batch.drop(columns="html").assign(entries=entries, error=errors)
-
-    kept = pages.drop("html").schema
-    schema = T.StructType([*kept.fields, T.StructField("entries", ENTRIES), T.StructField("error", T.StringType())])
-    return pages.mapInPandas(run, schema)
+    html = F.col("html")
+    tables = all_of(html, r"(?is)<table\b[^>]*>.*?</table\s*>")
+    nested = F.exists("_tables", lambda t: F.substring(t, 2, 1 << 30).rlike(r"(?i)<table\b"))
+    unclosed = F.regexp_count(html, F.lit(r"(?i)<table\b")) != F.size("_tables")
+
+    def items(within: Column, classes: str, read: Callable[[Column], Column]) -> Column:
+        return F.transform(all_of(within, element("table", classes)), read)
+
+    def complete(found: str) -> Column:
+        return F.coalesce(F.forall(found, lambda e: e.isNotNull()), F.lit(False))
+
+    content = F.when(html.rlike(CONTENT), F.regexp_extract(html, CONTENT, 0))
+    read = pages.withColumn("_tables", tables).withColumns(
+        {
+            "_described": items(content, "(?:el-item|item)", described_item),
+            "_primary": items(html, "item", primary_item),
+            "_titled": F.flatten(F.transform("_tables", titled_rows)),
+        }
+    )
+    primary = (F.size("_primary") > 0) & complete("_primary")
+    alone = F.size(all_of(html, TITLED)) != F.size("_titled")
+    error = (
+        F.when(html.isNull(), "no page")
+        .when(nested, "a table inside a table")
+        .when(unclosed, "a table that isn't closed")
+        .when(complete("_described") | primary, None)
+        .when(alone, "a titled link outside the rows of a table")
+    )
+    entries = (
+        F.when(F.col("error").isNotNull(), F.lit(None).cast(ENTRIES))
+        .when(complete("_described"), F.col("_described"))
+        .when(primary, F.col("_primary"))
+        .otherwise(F.col("_titled"))
+    )
+    done = read.withColumn("error", error).withColumn("entries", entries)
+    return done.select(*[c for c in pages.columns if c != "html"], "entries", "error")
 
 
 def entries_of(parsed: DataFrame) -> DataFrame:

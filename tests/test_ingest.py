@@ -16,7 +16,6 @@ from rankweave.schema import quality_checks
 from rankweave.sources import pages, store
 from rankweave.sources.catalog import parse_catalog
 from rankweave.sources.ingest import Library
-from rankweave.sources.layouts import read_entries
 from rankweave.streaming.ingest_stream import start_ingest
 
 BASE = "https://weekly.example"
@@ -51,6 +50,12 @@ def entry(title, author, content, main_link, other_links, tag=None):
     return dict(title=title, author=author, content=content, main_link=main_link, other_links=other_links, tag=tag)
 
 
+def read_entries(spark, html):
+    page = spark.createDataFrame([(1, html)], "issue_id bigint, html string")
+    row = pages.parse_pages(page).first()
+    return None if row.entries is None else [e.asDict() for e in row.entries], row.error
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
@@ -82,19 +87,35 @@ def entry(title, author, content, main_link, other_links, tag=None):
         ("<div id=content></b><p>open", []),
     ],
 )
-def test_layouts(html, want):
-    assert read_entries(html) == (want, None)
+def test_layouts(spark, html, want):
+    assert read_entries(spark, html) == (want, None)
+
+
+NESTED = '<table class="item"><tr><td><table></table></td></tr></table>'
 
 
-@pytest.mark.parametrize("html", ['<a title="x" href="u">alone</a>', None])
-def test_unreadable_pages_say_why(html):
-    entries, error = read_entries(html)
+@pytest.mark.parametrize("html", ['<a title="x" href="u">alone</a>', None, NESTED, "<table><tr><td>open"])
+def test_unreadable_pages_say_why(spark, html):
+    entries, error = read_entries(spark, html)
     assert entries is None and error
 
 
-def test_no_title_and_no_author_is_not_the_first_layout():
+def test_no_title_and_no_author_is_not_the_first_layout(spark):
     page = '<div id="content"><table class="item"><tr><td><p class="desc">just text</p></td></tr></table></div>'
-    assert read_entries(page) == ([], None)
+    assert read_entries(spark, page) == ([], None)
+
+
+def test_pages_are_read_without_python(spark):
+    parsed = pages.parse_pages(spark.createDataFrame([(1, LAYOUT_2)], "issue_id bigint, html string"))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_links_of_a_page(spark):
+    html = """<A class=x HREF='/one?a=1&amp;b=2'>1</A> <a data-href="no" href=/two>2</a> <a data-href="no">3</a>
+    <a
+     href="/four">4</a> <abbr href="no">5</abbr> <a href="">6</a>"""
+    assert one(spark, pages.page_links(F.lit(html))) == ["/one?a=1&b=2", "/two", "/four", ""]
 
 
 def test_pages_to_entries(spark):

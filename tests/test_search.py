@@ -93,12 +93,50 @@ def scores(result, value="score"):
 
 
 def test_bm25_is_brute_force(docs, asked):
-    found = scores(BM25Searcher(derive_index(docs, {"*": "doc"}, queries=asked)).search(asked))
+    found = scores(BM25Searcher(derive_index(docs, {"*": "doc"})).search(asked))
     assert found[1] == pytest.approx(brute_bm25(TEXTS, "the fox fox"), abs=1e-6)
     assert found[2] == pytest.approx(brute_bm25(TEXTS, "füchse 42"), abs=1e-6)
     assert set(found) == {1, 2}
 
 
+def test_one_index_serves_any_queries(spark, docs, asked):
+    """An index computed when it is read isn't tied to the queries it has served."""
+    index = derive_index(docs, {"*": "doc"})
+    other = as_queries(spark.createDataFrame([(7, "dog"), (8, "lazy quick")], "query_id bigint, query string"))
+    first = scores(BM25Searcher(index).search(asked))
+    second = scores(BM25Searcher(index).search(other))
+    assert first == scores(BM25Searcher(derive_index(docs, {"*": "doc"})).search(asked))
+    for query, text in ((7, "dog"), (8, "lazy quick")):
+        assert second.get(query, {}) == pytest.approx(brute_bm25(TEXTS, text), abs=1e-6)
+
+
+def test_both_token_tables_agree(spark, docs, asked):
+    """Repeated keys, null vectors and unknown tokens, with the table sent and with it joined."""
+    rows = [("fox", [1.0, 0.0]), ("fox", [0.5, 0.5]), ("the", [0.0, 1.0]), ("dog", None), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "key string, vec array<float>")
+    hits = BM25Searcher(derive_index(docs, {"*": "doc"})).search(asked)
+    sent, joined = (
+        scores(MaxSimReranker(docs, table, 2, max_count=10, table_bytes=b).rerank(asked, hits)) for b in (1 << 20, 0)
+    )
+    assert sent == joined and any(v > 0 for found in sent.values() for v in found.values())
+
+
+@pytest.mark.parametrize("bound", [10, None])
+def test_hits_without_a_number_have_no_rank(spark, bound):
+    hits = spark.createDataFrame([(1, 1, 2.0), (1, 2, None), (1, 3, 1.0)], "query_id bigint, id bigint, score double")
+    fused = ReciprocalRankFusion().fuse([SearchResult(hits, RankMetric.SCORE, bound=bound, n_queries=1)])
+    assert {r.id: r.score for r in fused.df.collect()} == {1: pytest.approx(1 / 61), 3: pytest.approx(1 / 62)}
+
+
+def test_best_window_of_a_long_document(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x")], "id bigint, doc string")
+    asked = as_queries(spark.createDataFrame([(1, "a e f z")], "query_id bigint, query string"))
+    hits = SearchResult(spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0)], "query_id bigint, id bigint, score double"), RankMetric.SCORE, bound=2, n_queries=1)
+    best = scores(TruncatedPairReranker(docs, max_length=4).rerank(asked, hits))
+    first = scores(TruncatedPairReranker(docs, max_length=4, truncate=True).rerank(asked, hits))
+    assert best == {1: {1: 0.5, 2: 0.0}} and first == {1: {1: 0.25, 2: 0.0}}
+
+
 def test_repeated_query_words_count_in_a_bag(docs, asked):
     index = derive_index(docs, {"text": "doc"})
     assert scores(FieldBM25Searcher(index, 10).search(asked))[1] == pytest.approx(
@@ -342,7 +380,7 @@ def test_pair_scores(spark, docs, asked):
     hits = BM25Searcher(derive_index(docs, {"*": "doc"}), 10).search(asked)
     ranked = PairReranker(docs).rerank(asked, hits)
     assert scores(ranked)[1] == {1: 1.0, 2: 0.5, 3: 0.5}
-    cut = TruncatedPairReranker(docs, max_length=1).rerank(asked, hits)
+    cut = TruncatedPairReranker(docs, max_length=1, truncate=True).rerank(asked, hits)
     assert scores(cut)[1] == {1: 0.5, 2: 0.5, 3: 0.0}
     assert PairReranker(docs, max_count=1).rerank(asked, hits).df.filter("query_id = 1").count() == 1
 
