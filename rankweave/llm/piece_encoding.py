@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, empty_if_null, fresh, portions, with_column
+from .common import documents, fresh, portions, with_column
 from .kernels import BYTE_VALUES, BYTES, U64, mix
 
 SPACE = "▁"
@@ -35,7 +35,7 @@ _PAIR = 1 << 24
 _NONE = (1 << 31) - 1
 _WIDTHS = (4, 8, 12, 20, 40)
 # Segmented words a worker keeps for each variant.
-CACHED = 250_000
+CACHED = 100_000
 
 
 class Pieces:
@@ -245,7 +245,7 @@ def _split(texts: pa.Array) -> pa.ListArray:
     return pa.array(words, pa.large_list(pa.large_string()))
 
 
-def _encode(path: str, text: str, key: str, column: str, seed: int, chance: float, variants: int):
+def _encode(path: str, text: str, key: str, column: str, seed: int, chance: float, variants: int, checked: str = ""):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
         for batch in portions(batches, text):
@@ -269,39 +269,49 @@ def _encode(path: str, text: str, key: str, column: str, seed: int, chance: floa
             source = np.repeat((np.cumsum(length) - length)[which] - (ends - counts), counts) + np.arange(counts.sum())
             offsets = np.append(0, ends)[bounds].astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[source]))
-            yield with_column(batch, column, ids)
+            out = with_column(batch, column, ids)
+            if checked:
+                originals = pc.fill_null(batch.column(text), "").cast(pa.binary()).to_pylist()
+                same = [a == b for a, b in zip(_spell(pieces, ids), originals, strict=True)]
+                out = with_column(out, checked, pa.array(same, pa.bool_()))
+            yield out
 
     return run
 
 
 def encode(
     docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", column: str = "ids",
-    seed: int = 0, chance: float = 0.1, variants: int = 4,
+    seed: int = 0, chance: float = 0.1, variants: int = 4, checked: str = "",
 ) -> DataFrame:
     """``docs`` with the piece ids of each whole text as ``column``, an array of int.
 
     ``model`` is the path of a merge-type SentencePiece file with byte pieces that puts a
     space before a text and changes nothing else.  ``chance`` 0 gives the model's own
-    encoding.  A null or empty text has no ids.  Rows that repeat an id and text get equal
+    encoding.  ``checked`` names a column that says whether the ids, decoded where they are made,
+    spell the text.  A null or empty text has no ids.  Rows that repeat an id and text get equal
     ids; a null id counts as -1.  Other columns pass through; no rows give no rows.
     """
     key = fresh(docs, "_id")
     keyed = docs.drop(column).withColumn(key, F.col(doc_id).cast("long"))
     fields = [*keyed.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]
-    return keyed.mapInArrow(_encode(model, text, key, column, seed, chance, variants), T.StructType(fields)).drop(key)
+    if checked:
+        keyed = keyed.drop(checked)
+        fields = [f for f in fields if f.name != checked] + [T.StructField(checked, T.BooleanType())]
+    return keyed.mapInArrow(_encode(model, text, key, column, seed, chance, variants, checked), T.StructType(fields)).drop(key)
+
+
+def _spell(pieces: Pieces, ids: pa.ListArray) -> Iterator[bytes]:
+    """The UTF-8 that each list of ids spells, without the space put before it."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield b"".join(map(pieces.spelled.__getitem__, flat[low:high].tolist()))[1:]
 
 
 def _decode(path: str, ids: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = Pieces.of(path).spelled
         for batch in batches:
-            values = batch.column(ids)
-            flat = values.flatten().to_numpy(zero_copy_only=False)
-            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)))
-            texts = [
-                b"".join(map(spelled.__getitem__, flat[a:b].tolist()))[1:].decode(errors="replace")
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-            ]
+            texts = [t.decode(errors="replace") for t in _spell(Pieces.of(path), batch.column(ids))]
             yield with_column(batch, column, pa.array(texts, pa.string()))
 
     return run
@@ -316,7 +326,6 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", column: str = "deco
 def op2_piece_encoding(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = documents(spark, sf_dir).select("doc_id", empty_if_null("text").alias("text"))
-    back = decode(encode(docs, model), model)
-    return back.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("lossless"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), checked="lossless")
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "lossless")
