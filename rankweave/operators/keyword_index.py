@@ -173,25 +173,28 @@ def save_index(
 ) -> None:
     """Write one delta of the index; writing the same delta again replaces it.
 
-    One shuffle: documents are spread by id, which balances the tokenizing.
-    Each task then sorts its postings and writes them by term bucket, so a word
-    that every document has lies in all tasks' files alike, and a rare word in
-    one row group of each.
+    Words are counted in the row that is read, and only the counts are shuffled, by term
+    bucket: a term lies in one or few files, and a bucket too large for one task is split by
+    size.  The totals are written last, and a delta without them isn't read.
     """
     spark = docs.sparkSession
-    counted = counted_words(docs.repartition("id"), fields, analyzer, stop_words)
+    counted = counted_words(docs, fields, analyzer, stop_words)
     postings = posting_rows(counted).withColumn("bucket", bucket_of(F.col("term"), buckets))
     target = f"{path}/postings/delta={delta}"
     (
-        postings.sortWithinPartitions("bucket", "field", "term", "id")
+        postings.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "field", "term", "id")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(target)
     )
     # Everything else follows from the written postings; text is not read again.
     written = spark.read.parquet(target)
-    stats = term_counts(written).sortWithinPartitions("term")
-    stats.write.mode("overwrite").parquet(f"{path}/term_stats/delta={delta}")
+    stats = term_counts(written).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    (
+        stats.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/term_stats/delta={delta}")
+    )
     sums = written.groupBy("field").agg(F.sum("tf").alias("total_len"), F.count("*").alias("n_postings"))
     names = spark.createDataFrame([(f,) for f in fields], "field string")
     totals = names.join(sums, "field", "left").select(
@@ -208,12 +211,13 @@ def save_index(
 
 def load_index(spark: SparkSession, path: str) -> KeywordIndex:
     totals = spark.read.parquet(f"{path}/corpus_stats")
-    how = totals.select("field", "buckets", "analyzer", "stop_words").distinct().collect()
+    how = totals.select("field", "buckets", "analyzer", "stop_words", "delta").distinct().collect()
     if len({(r.buckets, r.analyzer, _words(r.stop_words)) for r in how}) != 1:
         raise ValueError(f"{path} was written with different settings: {how}")
+    whole = F.col("delta").isin(sorted({r.delta for r in how}))
     return KeywordIndex(
-        spark.read.parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/term_stats"),
+        spark.read.parquet(f"{path}/postings").where(whole),
+        spark.read.parquet(f"{path}/term_stats").where(whole),
         totals,
         tuple(sorted({r.field for r in how})),
         how[0].buckets,

@@ -66,7 +66,10 @@ class BM25Searcher(BaseSearcher):
         fits = size.fits()
         seen = index.term_stats
         if not index.narrowed:
-            seen = seen.join(broadcast_if(terms.select("term").distinct(), fits), "term", "left_semi")
+            asked, on = terms.select("term").distinct(), ["term"]
+            if "bucket" in seen.columns:  # a stored index: buckets nobody asks for are pruned at run time
+                asked, on = asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets)), ["bucket", "term"]
+            seen = seen.join(broadcast_if(asked.where(F.length("term") > 0), fits), on, "left_semi")
         counts = seen.groupBy("field", "term").agg(F.sum("df").alias("df"))
         if fits:
             known = F.broadcast(terms).join(counts, "term")

@@ -357,3 +357,10 @@ ORACLES["hybrid_chain_maxsim"] = every("rows_late")
 ORACLES["result_links"] = sql(
     "SELECT query_id, rank, id, '[' || title || '](' || main_link || ')' AS title, author, date FROM rows_fused"
 )
+for stored, derived in (
+    ("bm25_stored", "bm25_document"),
+    ("bm25_fields_stored", "bm25_fields"),
+    ("knn_index_stored", "knn_distance"),
+    ("hybrid_stored", "hybrid_chain_fields"),
+):
+    ORACLES[stored] = ORACLES[derived]

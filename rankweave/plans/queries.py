@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from .. import schema
 from ..functions.embed import HashingEmbedder, embed
 from ..functions.urls import join_url, markdown_link, remove_first, strip_query
 from ..operators.fusion import ChainFusion, ReciprocalRankFusion
-from ..operators.ivf import build_ivf, recall
-from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_index
+from ..operators.ivf import IvfIndex, build_ivf, load_ivf, recall
+from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_index, load_index, save_index
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
 from ..operators.searchers import BM25Searcher, FieldBM25Searcher, VectorSearcher
 from ..sources import catalog, pages, store
@@ -121,6 +122,57 @@ def bm25_english(t):
     return BM25Searcher(index, CANDIDATES, idf_base=10).search(asked).ranked(CANDIDATES)
 
 
+def stored_index(t: Inputs, docs: DataFrame, fields: dict[str, str]) -> KeywordIndex:
+    """An index written to the shared folder and read again, as a deployment has it."""
+    path = f"{store.shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    save_index(docs, fields, path, buckets=16)
+    return load_index(t.spark, path)
+
+
+@query
+def bm25_stored(t):
+    index = stored_index(t, schema.documents(t.entries()), {WHOLE: "doc"})
+    return BM25Searcher(index, CANDIDATES).search(t.queries()).ranked(CANDIDATES)
+
+
+@query
+def bm25_fields_stored(t):
+    index = stored_index(t, t.entries(), {f: f for f in TEXT_FIELDS})
+    return FieldBM25Searcher(index, CANDIDATES).search(t.queries()).ranked(CANDIDATES)
+
+
+def stored_cells(t: Inputs) -> tuple[IvfIndex, int]:
+    cells = n_cells(t)
+    path = f"{store.shared_dir(t.spark)}/cells-{uuid.uuid4().hex}"
+    build_ivf(t.vectors(), cells, max_iter=5).save(path)
+    return load_ivf(t.spark, path), cells
+
+
+@query
+def knn_index_stored(t):
+    """A stored cell index with every cell probed, where it has to be exact."""
+    index, cells = stored_cells(t)
+    return vector_searcher(t, use_index=True, index=index, nprobe=cells).search(t.hybrid_queries()).ranked(CANDIDATES)
+
+
+@query
+def hybrid_stored(t):
+    """Both stored indexes, chained, pair-scored and retrieved from stored entries."""
+    path = f"{store.shared_dir(t.spark)}/entries-{uuid.uuid4().hex}"
+    store.write_blocks(t.entries(), path, width=20_000)
+    entries = t.spark.read.parquet(path)
+    index, cells = stored_cells(t)
+    search = create_search_fn(
+        [
+            FieldBM25Searcher(stored_index(t, entries, {f: f for f in TEXT_FIELDS}), CANDIDATES),
+            vector_searcher(t, use_index=True, index=index, nprobe=cells),
+        ],
+        fusion_method=ChainFusion(),
+        reranker=PairReranker(schema.documents(entries)),
+    )
+    return search(t.hybrid_queries()).retrieve(entries, t.issues(), FINAL)
+
+
 @query
 def knn_exact(t):
     return vector_searcher(t).search(t.hybrid_queries()).ranked(CANDIDATES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -162,6 +163,23 @@ def test_too_many_query_terms_to_broadcast(spark, docs, asked, tmp_path, monkeyp
     assert {r.salts for r in index.hot_terms().collect()} == {2, 3} or index.hot_terms().count() > 0
 
 
+def test_a_delta_without_totals_is_not_read(spark, docs, asked, tmp_path):
+    path = str(tmp_path / "index")
+    save_index(docs, {"*": "doc"}, path, buckets=4)
+    want = scores(BM25Searcher(load_index(spark, path)).search(asked))
+    save_index(docs, {"*": "doc"}, path, buckets=4, delta=1)
+    shutil.rmtree(tmp_path / "index" / "corpus_stats" / "delta=1")
+    assert scores(BM25Searcher(load_index(spark, path)).search(asked)) == want
+
+
+def test_a_bucket_lies_in_few_files(spark, docs, tmp_path):
+    path = tmp_path / "index"
+    save_index(docs.repartition(6), {"*": "doc"}, str(path), buckets=4)
+    for kind in ("postings", "term_stats"):
+        files = [len(list(d.glob("*.parquet"))) for d in (path / kind / "delta=0").glob("bucket=*")]
+        assert files and max(files) == 1
+
+
 def test_append_equals_rebuild(spark, docs, asked, tmp_path):
     path = str(tmp_path / "index")
     save_index(docs.filter("id <= 2"), {"*": "doc"}, path, buckets=4)
