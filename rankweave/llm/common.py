@@ -51,13 +51,13 @@ def fresh(df: DataFrame, name: str) -> str:
 PORTION_BYTES = 4 << 20
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text; a longer text is a batch of its own."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            limit = (int(sizes[at - 1]) if at else 0) + PORTION_BYTES
+            limit = (int(sizes[at - 1]) if at else 0) + most
             end = max(at + 1, int(np.searchsorted(sizes, limit, "right")))
             yield batch.slice(at, end - at)
             at = end

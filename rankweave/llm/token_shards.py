@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, empty_if_null, portions, scratch
 from .kernels import U64, mix
-from .tokens import ByteEncoder
+from .tokens import PART_BYTES, ByteEncoder
 
 LENGTH = 2048
 # Sequences in a shard: 16 MB of 16-bit ids.
@@ -52,7 +52,7 @@ def permute(values: np.ndarray, size: int, key: int, backward: bool = False) ->
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], encoder: ByteEncoder, end: int, sizes_only: bool):
-    for batch in portions(batches):
+    for batch in portions(batches, most=PART_BYTES):
         yield batch.column("doc_id").to_pylist(), encoder.many(batch.column("text"), end, sizes_only)
 
 

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 
 # Entries of each table that a worker keeps.
 CACHED_WORDS = 400_000
+CACHED_SPACED = 700_000
 # Texts whose words are looked up together.
 PART_BYTES = 12 << 20
 # Letters that no normal form and no context changes, then plain punctuation.  U+0130 lower-cases to two characters.
@@ -130,19 +131,35 @@ class _Spaced(dict):
     def __init__(self, coder):
         super().__init__()
         self.encode = coder.encode_ordinary
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("H", self.encode(word)).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("H", self.encode(word)).tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
 
+    def trim(self) -> None:
+        """Forget the words that haven't come up for long."""
+        if len(self) > CACHED_SPACED:
+            self.old = dict(self)
+            self.clear()
+
+
+# Texts with line breaks, or with full stops and commas, that the pattern may keep with what is before.
+JOINED_BREAKS = r"[\s\x0b\x{85}\pZ]\n|\n[\s\x0b\x{85}\pZ]|^\n|\n$"
+JOINED_MARKS = r"[^\pL\pN][.,]|^[.,]"
+
 
 class ByteEncoder:
     """16-bit ids of a byte-level tokenizer whose pattern puts one space before the word after it.
 
     A text is cut before every space.  That is where its pattern cuts too, unless two spaces
-    follow each other or one ends the text; such a text is encoded whole.
+    follow each other or one ends the text; such a text is encoded whole.  Line breaks are cut
+    out where none has white space beside it, and full stops and commas begin a new word
+    where all follow a letter or digit.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -167,10 +184,15 @@ class ByteEncoder:
         column = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.match_substring_regex(column, "  | $|\\x00")
         whole = {i: self.encode(column[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), " ", "\0 "), "\0")
+        marked = pc.replace_substring(pc.if_else(odd, "", column), " ", "\0 ")
+        cut = pc.invert(pc.match_substring_regex(column, JOINED_BREAKS))
+        marked = pc.if_else(cut, pc.replace_substring(marked, "\n", "\0\n\0"), marked)
+        cut = pc.invert(pc.match_substring_regex(column, JOINED_MARKS))
+        for mark in ".,":
+            marked = pc.if_else(cut, pc.replace_substring(marked, mark, "\0" + mark), marked)
+        split = pc.split_pattern(marked, "\0")
         words = split.flatten().dictionary_encode()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        self.words.trim()
         found = [*map(self.words.__getitem__, words.dictionary.to_pylist())]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
         which = words.indices.to_numpy()
