@@ -332,16 +332,20 @@ ORACLES: dict[str, str] = {
                count(*) AS n_vectors, 'test-model-' || label || '.bin' AS index_filename
         FROM embeddings GROUP BY label""",
     "quality_checks": sql("""
-        SELECT 'issues.id unique' AS rule, count(*) - count(DISTINCT page_id) AS violations FROM pages
-        UNION ALL SELECT 'entries.id unique', count(*) - count(DISTINCT doc_id) FROM documents
-        UNION ALL SELECT 'vectors.id unique', count(*) - count(DISTINCT vec_id) FROM embeddings
-        UNION ALL SELECT 'issues.publish_date not null', count(*) FILTER (WHERE page_id IS NULL) FROM pages
-        UNION ALL SELECT 'issues.url not null', count(*) FILTER (WHERE url IS NULL) FROM pages
-        UNION ALL SELECT 'entries.title not null', count(*) FILTER (WHERE title IS NULL) FROM entries
-        UNION ALL SELECT 'vectors.vec not null', count(*) FILTER (WHERE embedding IS NULL) FROM embeddings
-        UNION ALL SELECT 'vectors.vec length', count(*) FILTER (WHERE len(embedding) <> 64) FROM embeddings
-        UNION ALL SELECT 'entries.issue_id known', count(*) FROM entries
-                  WHERE issue_id IS NOT NULL AND issue_id NOT IN (SELECT page_id FROM pages)"""),
+        SELECT 'issues.id unique' AS rule, count(*) FILTER (WHERE page_id % 10 = 0) AS violations FROM pages
+        UNION ALL SELECT 'entries.id unique', count(*) FILTER (WHERE doc_id % 4 = 0 AND doc_id % 7 <> 0) FROM documents
+        UNION ALL SELECT 'vectors.id unique', count(*) FILTER (WHERE vec_id % 3 = 0) FROM embeddings
+        UNION ALL SELECT 'issues.publish_date not null', 0
+        UNION ALL SELECT 'issues.url not null',
+            count(*) FILTER (WHERE page_id % 9 = 0) + count(*) FILTER (WHERE page_id % 90 = 0) FROM pages
+        UNION ALL SELECT 'entries.title not null',
+            count(*) FILTER (WHERE doc_id % 6 = 0) + count(*) FILTER (WHERE doc_id % 12 = 0) FROM documents
+        UNION ALL SELECT 'vectors.vec not null', sum(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END)
+            FILTER (WHERE vec_id % 8 = 0 AND vec_id % 5 <> 0)::BIGINT FROM embeddings
+        UNION ALL SELECT 'vectors.vec length', sum(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END)
+            FILTER (WHERE vec_id % 5 = 0)::BIGINT FROM embeddings
+        UNION ALL SELECT 'entries.issue_id known', coalesce(sum(CASE WHEN id % 4 = 0 THEN 2 ELSE 1 END), 0)::BIGINT
+            FROM gaps WHERE issue_id NOT IN (SELECT page_id FROM pages)"""),
     "embed_docs": sql("SELECT id, slot, round(value::DOUBLE, 6) AS value FROM doc_vectors"),
 }
 retrieved("rows_bm25", "bm25_50_plain")

@@ -427,7 +427,14 @@ def model_registry(t):
 
 @query
 def quality_checks(t):
-    return schema.quality_checks(t.issues(), t.entries(), t.vectors(), DIMENSION)
+    """The report on tables with repeats, nulls, wrong lengths and entries of unknown issues."""
+    issues = t.issues().withColumn("url", F.when(F.col("id") % 9 != 0, F.col("url")))
+    entries = t.entries_with_gaps().withColumn("title", F.when(F.col("id") % 6 != 0, F.col("title")))
+    short = F.when(F.col("id") % 5 == 0, F.slice("vec", 1, DIMENSION - 1)).when(F.col("id") % 8 != 0, F.col("vec"))
+    vectors = t.vectors().withColumn("vec", short)
+    twice = [df.unionByName(df.where(F.col("id") % n == 0)) for df, n in ((issues, 10), (entries, 4), (vectors, 3))]
+    nameless = twice[1].withColumn("id", F.when(F.col("id") % 7 != 0, F.col("id")))
+    return schema.quality_checks(twice[0], nameless, twice[2], DIMENSION)
 
 
 @query

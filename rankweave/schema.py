@@ -33,11 +33,15 @@ def model_registry(vectors: DataFrame) -> DataFrame:
 
 
 def quality_checks(issues: DataFrame, entries: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
-    """``(rule, violations)`` for keys, required columns, references and sizes."""
+    """``(rule, violations)`` for keys, required columns, references and sizes.
+
+    A key is violated by every row beyond the first that has it; rows without a key aren't
+    repeats of each other.
+    """
 
     def repeated(df: DataFrame, key: str, rule: str) -> DataFrame:
-        groups = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-        return groups.agg(F.lit(rule).alias("rule"), F.count("*").alias("violations"))
+        groups = df.filter(F.col(key).isNotNull()).groupBy(key).agg((F.count("*") - 1).alias("n"))
+        return groups.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
 
     def failing(df: DataFrame, rules: dict[str, F.Column]) -> DataFrame:
         counts = df.agg(*[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(rules.values())])

@@ -261,13 +261,14 @@ def test_embeddings_of_documents_are_stored_and_found(spark, tmp_path):
 def test_quality_checks_find_violations(spark):
     issues = spark.sql("select 1L id, date'2020-01-01' publish_date, 'u' url union all select 1L, null, null")
     entries = spark.sql(
-        "select 1L id, 1 issue_id, 't' title union all select 1L, 9, null union all select 2L, null, 't'"
+        "select 1L id, 1 issue_id, 't' title union all select 1L, 9, null union all select 2L, null, 't' "
+        "union all select 1L, 1, 't' union all select null, 1, 't' union all select null, 1, 't'"
     )
     vectors = spark.sql("select 1L id, array(1f, 2f) vec union all select 2L, array(1f) union all select 3L, null")
     got = {r.rule: r.violations for r in quality_checks(issues, entries, vectors, 2).collect()}
     assert got == {
         "issues.id unique": 1,
-        "entries.id unique": 1,
+        "entries.id unique": 2,
         "vectors.id unique": 0,
         "issues.publish_date not null": 1,
         "issues.url not null": 1,
