@@ -98,18 +98,25 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """Thresholds on shares of a text; between them a rule abstains."""
-    c = F.col
+    """Thresholds on shares of a text.
+
+    Most rules know one fault and abstain without it, as a text free of one fault isn't good
+    for that; one knows ordinary prose.
+    """
+    c, never = F.col, F.lit(False)
+    words, letters = c("n_words"), c("n_letters")
     return [
-        Rule("length", c("n_words") >= 30, c("n_words") < 10),
-        Rule("word_size", c("word_chars").between(c("n_words") * 3, c("n_words") * 9), (c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 14)),
-        Rule("symbols", c("n_symbols") * 100 <= c("n_words"), c("n_symbols") * 10 > c("n_words")),
-        Rule("case", c("n_upper") * 10 <= c("n_letters"), c("n_upper") * 2 > c("n_letters")),
-        Rule("shouting", c("n_shouts") * 100 <= c("n_words"), c("n_shouts") * 10 > c("n_words")),
-        Rule("lines", (c("n_lines") > 1) & (c("n_dup_lines") == 0), c("n_dup_lines") * 10 > c("n_lines") * 3),
-        Rule("repetition", c("n_repeat_words") * 20 <= c("n_words"), c("n_repeat_words") * 5 > c("n_words")),
-        Rule("sentences", c("n_ends").between(c("n_words") / 40, c("n_words") / 4), (c("n_words") >= 20) & ((c("n_ends") * 100 < c("n_words")) | (c("n_ends") * 2 > c("n_words")))),
-    ]
+        Rule("prose", (c("n_upper") * 5 <= letters) & (c("n_symbols") * 50 <= words) & (c("n_shouts") * 50 <= words), never),
+        Rule("length", never, words < 10),
+        Rule("word_size", never, (c("word_chars") < words * 2) | (c("word_chars") > words * 14)),
+        Rule("symbols", never, c("n_symbols") * 10 > words),
+        Rule("case", never, c("n_upper") * 3 > letters),
+        Rule("shouting", never, c("n_shouts") * 10 > words),
+        Rule("digits", never, c("n_digits") * 5 > c("word_chars")),
+        Rule("lines", never, c("n_dup_lines") * 10 > c("n_lines") * 3),
+        Rule("repetition", never, c("n_repeat_words") * 10 > words),
+        Rule("sentences", never, (words >= 40) & (c("n_ends") * 100 < words)),
+    ]
 
 
 @dataclass(frozen=True)
@@ -132,14 +139,12 @@ class LabelModel:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-7) -> LabelModel:
     """EM over vote patterns (-1, 0, 1 per rule) and how many documents show each.
 
-    Starts from the majority of the votes, which also fixes which class is the good one.
-    No documents, or a single pattern, give a model that follows the majority.
+    Starts from the votes, a complaint weighing more than praise, which also fixes which class
+    is the good one.  No documents, or a single pattern, give a model that follows that start.
     """
     n = patterns.shape[1]
     seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    total = patterns.sum(axis=1)
-    # Two votes of slack: rules agree on most good documents, and one complaint isn't a verdict.
-    q = 1 / (1 + np.exp(-2.0 * (total + (patterns >= 0).all(axis=1) * 1.0)))
+    q = 1 / (1 + np.exp(-(2.0 - 4.0 * (patterns < 0).sum(axis=1) + 0.5 * (patterns > 0).sum(axis=1))))
     model = None
     for _ in range(rounds):
         w_good, w_bad = q * counts, (1 - q) * counts
@@ -176,17 +181,16 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
     without rows gives none; other columns are not read.
     """
     used = rules()
-    voted = stored(measures(docs, text, doc_id).select("*", *[r.vote() for r in used]), "quality-votes")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    measured = measures(docs, text, doc_id).withColumn("base_failed", failed)
+    voted = stored(measured.select("*", *[r.vote() for r in used]), "quality-votes")
     names = [f"v_{r.name}" for r in used]
-    seen = voted.groupBy(*names).count().collect()  # at most 3 ** rules rows
+    # What the base rules drop is decided; its faults would otherwise be all that is learned.
+    seen = voted.where(~F.col("base_failed")).groupBy(*names).count().collect()  # at most 3 ** rules rows
     patterns = np.array([[r[n] for n in names] for r in seen], int).reshape(len(seen), len(names))
     model = fit(patterns, np.array([r["count"] for r in seen], float))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        voted.withColumn("posterior", posterior(model, used))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-    )
+    chance = posterior(model, used)
+    return voted.withColumn("posterior", chance).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
