@@ -112,6 +112,7 @@ def _pack(tokenizer: str, capacity: int, group: int, quadratic: float):
                 total += len(ids)
                 if total >= group * capacity:
                     yield flush(last=False)
+            pa.default_memory_pool().release_unused()
         if held:
             yield flush(last=True)
 

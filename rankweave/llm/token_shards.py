@@ -52,7 +52,7 @@ def permute(values: np.ndarray, size: int, key: int, backward: bool = False) ->
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], encoder: ByteEncoder, end: int, sizes_only: bool):
-    for batch in portions(batches, most=PART_BYTES):
+    for batch in portions(batches, most=3 * PART_BYTES):
         yield batch.column("doc_id").to_pylist(), encoder.many(batch.column("text"), end, sizes_only)
 
 

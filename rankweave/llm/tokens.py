@@ -12,10 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Entries of each table that a worker keeps.
-CACHED_WORDS = 400_000
-CACHED_SPACED = 700_000
+CACHED_WORDS = 250_000
+CACHED_SPACED = 500_000
 # Texts whose words are looked up together.
-PART_BYTES = 12 << 20
+PART_BYTES = 4 << 20
 # Letters that no normal form and no context changes, then plain punctuation.  U+0130 lower-cases to two characters.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
 
