@@ -165,6 +165,36 @@ def test_words_together_are_segmented_as_alone(chance):
     assert pieces.segment_all(words, keys, chance) == alone
 
 
+def test_every_occurrence_draws_for_itself(spark):
+    word = " international"
+    texts = [(word * 300)[1:], (word * 300)[1:], "x" + " plain ▁sign," * 50 + " " + "abcd" * 30]
+    pieces = piece_encoding.Pieces.of(PIECES)
+    rows = {r.doc_id: r.ids for r in piece_encoding.encode(data.frame(spark, texts), PIECES, chance=0.1, seed=3).collect()}
+    seen = []
+    for i in (0, 1):
+        at, ways = 0, []
+        for _ in range(300):
+            spelled, begin = b"", at
+            while spelled != word.encode():
+                spelled += pieces.spelled[rows[i][at]]
+                at += 1
+            ways.append(tuple(rows[i][begin:at]))
+        assert at == len(rows[i])
+        seen.append(ways)
+    assert len(set(seen[0])) > 4 and len(set(seen[1])) > 4 and seen[0] != seen[1]
+
+
+@pytest.mark.parametrize("chance", [0.0, 0.1, 0.6])
+def test_kept_chains_give_what_each_occurrence_draws(chance):
+    pieces = piece_encoding.Pieces.of(PIECES)
+    names = sorted({w for t in odd_texts(300) for w in piece_encoding._WORD.findall(" " + t)} | {" international", " " + "abcd" * 30})
+    which = np.random.default_rng(1).integers(0, len(names), 5000)
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    flat, begins, counts = piece_encoding._segmented(pieces, names, which, keys, chance)
+    for i, key, begin, n in zip(which.tolist(), keys.tolist(), begins.tolist(), counts.tolist(), strict=True):
+        assert flat[begin : begin + n].tolist() == pieces.segment(names[i], key, chance)
+
+
 def test_checksum_is_that_of_zlib(spark):
     rows = packing.pack(data.frame(spark, ["a b c"]), WORDS).selectExpr("ids", "crc32(ids) as c").collect()
     assert [r.c for r in rows] == [zlib.crc32(bytes(r.ids)) for r in rows]
