@@ -180,6 +180,32 @@ def test_license_places(spark):
     assert rows[7].labels == "cc-by,cc-by-nc-4.0"
 
 
+def test_license_notices_with_one_change(spark):
+    cases = []
+    for label, wordings in license_scan.NOTICES.items():
+        words = (wordings if isinstance(wordings, str) else wordings[0]).split()
+        core = license_scan.core_pairs(" ".join(words), license_scan.CORES.get(label, ()))
+        fixed = core | {i + 1 for i in core}
+        cases += [(label, [*words[:i], "really", *words[i:]]) for i in range(1, len(words)) if i - 1 not in core]
+        cases += [(label, [*words[:i], "other", *words[i + 1 :]]) for i in range(len(words)) if i not in fixed and (label, i) != ("mit-notice", 1)]
+    others = {
+        "Licensed under the terms of the Apache License, Version 2.0": "apache,apache-2.0",
+        "Use it as the GNU General Public License, version 3, says": "gpl,gpl-3.0", "GPL v3": "gpl-3.0",
+        "Licensed under CC BY 4.0": "cc-by,cc-by-4.0", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "Licensed under CC BY-ND 4.0": "cc-by", "Licensed under CC BY-NC 3.0": "cc-by",
+        "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "licensed under the GNU General Public License": "gpl", "licensed under the GNU Lesser General Public License, version 3": "",
+        # A pair doesn't show a first word that stands alone: this isn't told from any "the MIT license".
+        "released other the MIT license": "mit", "about the MIT license": "mit",
+        "Licensed under the Apache License, Version 1.1": "apache", "released under the BSD license": "",
+    }
+    texts = ["so it is " + " ".join(words) + " as said" for _, words in cases] + [*others]
+    rows = {r.doc_id: r.labels for r in license_scan.licenses(data.frame(spark, texts)).collect()}
+    names = set(license_scan.NOTICES)
+    assert [(texts[i], rows[i]) for i, (label, _) in enumerate(cases) if set(rows[i].split(",")) & names != {label}] == []
+    assert {t: rows[len(cases) + i] for i, t in enumerate(others)} == others
+
+
 def test_empty_tables(spark):
     none = data.frame(spark, []).limit(0)
     assert line_dedup.dedup_lines(none).count() == 0
