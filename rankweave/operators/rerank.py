@@ -37,7 +37,8 @@ def term_overlap(query_tokens: Column, doc_tokens: Column) -> Column:
 def overlap_scorer(max_tokens: int | None = None, *, truncate: bool = False) -> PairScorer:
     """Term overlap of two texts; ``max_tokens`` is the input size of the model.
 
-    A longer document counts by its best window of that size, or with ``truncate`` by its first.
+    A longer document counts by its best block of that size, or with ``truncate`` by its first;
+    blocks don't overlap, so a passage over an edge is split.
     """
 
     def score(query: Column, doc: Column) -> Column:
@@ -110,7 +111,7 @@ class PairReranker(Reranker):
 class TruncatedPairReranker(PairReranker):
     """Pair scoring by a model that reads at most ``max_length`` document tokens at a time.
 
-    All windows of a document are scored and the best one counts; ``truncate`` reads only
+    All blocks of a document, which don't overlap, are scored and the best one counts; ``truncate`` reads only
     the first.
     """
 
