@@ -12,6 +12,7 @@ from .quality_model import op1_quality_classifier
 from .quality_rules import op8_quality_rules
 from .suffix_dedup import op4_suffix_dedup
 from .token_shards import op3_token_shards
+from .toxicity import op11_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_toxicity": op11_toxicity,
 }
 
 ORACLES = {"op7_exact_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}
