@@ -10,6 +10,7 @@ from .packing import op9_packing
 from .piece_encoding import op2_piece_encoding
 from .quality_model import op1_quality_classifier
 from .quality_rules import op8_quality_rules
+from .resampling import op12_importance_resampling
 from .suffix_dedup import op4_suffix_dedup
 from .token_shards import op3_token_shards
 from .toxicity import op11_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_toxicity": op11_toxicity,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES = {"op7_exact_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -104,3 +104,35 @@ def phrases_at(words, phrases):
         p = phrase.split()
         found += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
     return found
+
+
+def importance_resampling(docs, target):
+    """op12 by its contract: ``docs`` (doc_id, text) and target texts to rows by doc_id."""
+    import math
+    import zlib
+
+    def feats(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        out = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        return words, [zlib.crc32(f.encode()) % 10000 for f in out]
+
+    s, t = [0] * 10000, [0] * 10000
+    for _, text in docs:
+        for b in feats(text)[1]:
+            s[b] += 1
+    for text in target:
+        for b in feats(text)[1]:
+            t[b] += 1
+    big_s, big_t = float(sum(s)), float(sum(t))
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + 10000) / ((s[b] + 1) * (big_t + 10000)))) for b in range(10000)]
+    rows = []
+    for doc_id, text in docs:
+        words, buckets = feats(text)
+        weight = sum(gain[b] for b in buckets)
+        h = int(hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = int(weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+        rows.append([doc_id, len(buckets), weight, score, None, len(words)])
+    eligible = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for rank, r in enumerate(eligible[: len(eligible) * 5 // 100], 1):
+        r[4] = rank
+    return rows
