@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .hard_negatives import op13_hard_negatives
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op6_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_toxicity": op11_toxicity,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {"op7_exact_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -136,3 +136,28 @@ def importance_resampling(docs, target):
     for rank, r in enumerate(eligible[: len(eligible) * 5 // 100], 1):
         r[4] = rank
     return rows
+
+
+def hard_negatives(rows):
+    """op13 by its contract over (vec_id, embedding, label) rows."""
+    import math
+
+    ok = []
+    for vec_id, emb, label in rows:
+        if vec_id is None or label is None or emb is None or any(x is None or not math.isfinite(x) for x in emb):
+            continue
+        if vec_id % 7 == 0:
+            label = (label + 1) % 10
+        ok.append((vec_id, label, [math.floor(256 * float(x)) for x in emb]))
+    out, seen = [], set()
+    for a_id, a_label, a in ok:
+        if a_id % 100 or (a_id, a_label, tuple(a)) in seen:
+            continue
+        seen.add((a_id, a_label, tuple(a)))
+        scored = [(sum(x * y for x, y in zip(a, v)), i, lab, v) for i, lab, v in ok]
+        scored.sort(key=lambda t: (-t[0], t[1]))
+        pos = [t for t in scored if t[2] == a_label and not (t[1] == a_id and t[3] == a)][:5]
+        for ps, pid, _, _ in pos:
+            neg = [t for t in scored if t[2] != a_label and 30 * ps <= 100 * t[0] <= 90 * ps][:10]
+            out += [(a_id, pid, r, nid, ps, ns) for r, (ns, nid, _, _) in enumerate(neg, 1)]
+    return out
