@@ -365,6 +365,7 @@ for stored, derived in (
     ("bm25_stored", "bm25_document"),
     ("bm25_fields_stored", "bm25_fields"),
     ("knn_index_stored", "knn_distance"),
+    ("knn_pruned", "knn_distance"),
     ("hybrid_stored", "hybrid_chain_fields"),
 ):
     ORACLES[stored] = ORACLES[derived]

@@ -13,6 +13,7 @@ from ..functions.embed import HashingEmbedder, embed
 from ..functions.urls import join_url, markdown_link, remove_first, strip_query
 from ..operators.fusion import ChainFusion, ReciprocalRankFusion
 from ..operators.ivf import IvfIndex, build_ivf, load_ivf, recall
+from ..operators.pruned_cells import build_pruned, load_pruned, pruned_search
 from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_index, load_index, save_index
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
 from ..operators.searchers import BM25Searcher, FieldBM25Searcher, VectorSearcher
@@ -186,6 +187,18 @@ def knn_distance(t):
     return vector_searcher(t, use_index=True, index=index, nprobe=cells).search(t.hybrid_queries()).ranked(CANDIDATES)
 
 
+def stored_pruned(t: Inputs):
+    path = f"{store.shared_dir(t.spark)}/pruned-{uuid.uuid4().hex}"
+    build_pruned(t.vectors(), n_cells(t)).save(path)
+    return load_pruned(t.spark, path)
+
+
+@query
+def knn_pruned(t):
+    """Exact top 50 by cosine distance, reading only cells whose angular bound can reach the 50th."""
+    return pruned_search(stored_pruned(t), t.hybrid_queries(), CANDIDATES)[0]
+
+
 @query
 def knn_text(t):
     """Documents and query texts through the embedding function."""
