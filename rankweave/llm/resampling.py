@@ -79,36 +79,106 @@ class Table:
         return slot
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+# Word bytes once A-Z are lowered: digits, a-z and every byte of a non-ASCII character.
+WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+CHUNK_BYTES = 1 << 20
+
+
+def _chunks(text: str) -> Iterator[bytes]:
+    """The lowered UTF-8 bytes of a text in parts of about CHUNK_BYTES, cut between words."""
+    data = text.encode().translate(LOWER_BYTES)
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK_BYTES)
+        if end < len(data) and WORD_BYTES.match(data, end - 1, end):
+            inside = WORD_BYTES.match(data, end)
+            if inside:  # the cut is inside a word (or a character): move it to the word's end
+                end = inside.end()
+        yield data[at:end]
+        at = end
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
     """(row of each word, words, whether the word is new) over bounded pieces of text.
 
     A document may span pieces: a piece then starts with the two words before it again, not
     new, so that the n-grams ending in its first words are whole.
     """
-    rows: list[int] = []
-    words: list[str] = []
-    new: list[bool] = []
+    rows: list[np.ndarray] = []
+    words: list[bytes] = []
+    new: list[np.ndarray] = []
+    held = 0
     for row, text in enumerate(texts):
         if not text:
             continue
-        for m in WORD.finditer(text.translate(LOWER)):
-            rows.append(row)
-            words.append(m.group())
-            new.append(True)
-            if len(words) >= PIECE_WORDS:
-                yield np.array(rows), words, np.array(new)
-                keep = [i for i in (-2, -1) if rows[i] == row]
-                rows, words, new = [row] * len(keep), [words[i] for i in keep], [False] * len(keep)
+        for chunk in _chunks(text):
+            found = WORD_BYTES.findall(chunk)
+            rows.append(np.full(len(found), row))
+            new.append(np.ones(len(found), bool))
+            words += found
+            held += len(found)
+            if held >= PIECE_WORDS:
+                r, n = np.concatenate(rows), np.concatenate(new)
+                yield r, words, n
+                keep = [i for i in (-2, -1) if len(r) >= -i and r[i] == row]
+                rows, words, new = [np.full(len(keep), row)], [words[i] for i in keep], [np.zeros(len(keep), bool)]
+                held = len(keep)
     if words:
-        yield np.array(rows), words, np.array(new)
+        yield np.concatenate(rows), words, np.concatenate(new)
+
+
+def _zero_byte(c: int) -> int:
+    """The CRC-32 register after one more zero byte (reflected polynomial)."""
+    for _ in range(8):
+        c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _shift_tables(levels: int = 40) -> np.ndarray:
+    """For k < levels, byte tables of the linear map 'append 2^k zero bytes' on CRC values."""
+    images = [_zero_byte(1 << i) for i in range(32)]
+    out = np.zeros((levels, 4, 256), np.uint32)
+    values = np.arange(256)
+    for k in range(levels):
+        for j in range(4):
+            for t in range(8):
+                out[k, j] ^= np.where((values >> t) & 1, np.uint32(images[8 * j + t]), np.uint32(0))
+        images = [int(_apply(out[k], np.array([v], np.uint32))[0]) for v in images]
+    return out
+
+
+def _apply(table: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return table[0][v & 255] ^ table[1][(v >> 8) & 255] ^ table[2][(v >> 16) & 255] ^ table[3][v >> 24]
+
+
+SHIFTS = _shift_tables()
+SPACE_CRC = np.uint32(zlib.crc32(b" "))
+
+
+def crc_join(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
+    """crc32 of first-text + ' ' + second-text from the crc32 of each and the second's length."""
+    out = first.astype(np.uint32)
+    for lengths, then in ((np.ones(len(out), np.int64), np.full(len(out), SPACE_CRC)), (second_bytes, second.astype(np.uint32))):
+        for k in range(int(lengths.max(initial=0)).bit_length()):
+            at = np.flatnonzero((lengths >> k) & 1)
+            out[at] = _apply(SHIFTS[k], out[at])
+        out ^= then
+    return out
 
 
-def features(rows: np.ndarray, words: list[str], new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(rows: np.ndarray, words: list[bytes], new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of every n-gram that ends in a new word, by order of n."""
-    text = np.array(words, dtype=object)
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    text = np.empty(len(words), dtype=object)
+    text[:] = words
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     table = Table(len(words))
     wid = table.intern(keys, lambda a, b: text[a] == text[b])
+    # A word's slot keeps its crc and byte length, computed once per distinct word.
+    distinct = np.flatnonzero(table.first >= 0)
+    crc, size = np.zeros(len(table.first), np.uint32), np.zeros(len(table.first), np.int64)
+    crc[distinct] = np.fromiter((zlib.crc32(text[i]) for i in table.first[distinct]), np.uint32, len(distinct))
+    size[distinct] = np.fromiter((len(text[i]) for i in table.first[distinct]), np.int64, len(distinct))
     for n in ORDERS:
         ends = np.arange(n - 1, len(words))
         ends = ends[new[ends] & (rows[ends - n + 1] == rows[ends])]
@@ -118,12 +188,14 @@ def features(rows: np.ndarray, words: list[str], new: np.ndarray) -> Iterator[tu
             key = (key ^ p.astype(np.uint64)) * GOLDEN + np.uint64(n)
         grams = Table(len(ends))
         slot = grams.intern(key, lambda a, b: np.all([p[a] == p[b] for p in parts], axis=0))
+        # A gram's slot keeps its bucket, computed once per distinct gram from its words' crcs.
         distinct = np.flatnonzero(grams.first >= 0)
+        first = grams.first[distinct]
+        value = crc[parts[0][first]]
+        for p in parts[1:]:
+            value = crc_join(value, crc[p[first]], size[p[first]])
         bucket = np.zeros(len(grams.first), np.int64)
-        for s in distinct:
-            first = grams.first[s]
-            gram = " ".join(text[ends[first] - n + 1 : ends[first] + 1])
-            bucket[s] = zlib.crc32(gram.encode()) % BUCKETS
+        bucket[distinct] = value % BUCKETS
         yield rows[ends], bucket[slot]
 
 
@@ -224,8 +296,8 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     gain = gains(bucket_counts(docs), bucket_counts(target))
-    weighed = weigh(docs, gain).withColumn("score", (F.col("weight") + noise("doc_id")).cast("long"))
+    weighed = stored(weigh(docs, gain).withColumn("score", (F.col("weight") + noise("doc_id")).cast("long")).drop("text"), "weighed")
     weighed = weighed.withColumn("eligible", F.col("n_words") >= MIN_WORDS)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features").asc()]
-    out = ranked(weighed.drop("text"), "eligible", order)
+    out = ranked(weighed, "eligible", order)
     return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")

@@ -58,9 +58,10 @@ def test_empty_table(spark):
 
 
 def test_pieces_keep_ngrams_whole(monkeypatch):
-    texts = [" ".join(f"w{i % 7}" for i in range(50)), None, "a b", " ".join(f"x{i}" for i in range(33))]
+    texts = [" ".join(f"w{i % 7}" for i in range(50)), None, "a b", " ".join(f"xé{i}" for i in range(33))]
     whole = [list(resampling.features(*p)) for p in resampling.pieces(texts)]
     monkeypatch.setattr(resampling, "PIECE_WORDS", 4)
+    monkeypatch.setattr(resampling, "CHUNK_BYTES", 3)
     cut = [list(resampling.features(*p)) for p in resampling.pieces(texts)]
 
     def per_row(parts):
@@ -75,6 +76,17 @@ def test_pieces_keep_ngrams_whole(monkeypatch):
     assert sum(len(v) for v in per_row(cut).values()) == (50 + 49 + 48) + (2 + 1) + (33 + 32 + 31)
 
 
+def test_joined_crcs_equal_crcs_of_joined_bytes():
+    import random
+    import zlib
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = (bytes(rnd.randrange(256) for _ in range(rnd.randrange(0, n))) for n in (40, 5000))
+        joined = resampling.crc_join(np.array([zlib.crc32(a)], np.uint32), np.array([zlib.crc32(b)], np.uint32), np.array([len(b)]))
+        assert joined[0] == zlib.crc32(a + b" " + b)
+
+
 def test_table_verifies_values_on_equal_keys():
     values = np.array(["a", "b", "a", "c", "b", "a"], dtype=object)
     keys = np.zeros(len(values), np.uint64)  # every key collides
