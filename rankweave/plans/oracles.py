@@ -366,6 +366,7 @@ for stored, derived in (
     ("bm25_fields_stored", "bm25_fields"),
     ("knn_index_stored", "knn_distance"),
     ("knn_pruned", "knn_distance"),
+    ("bm25_pruned", "bm25_document"),
     ("hybrid_stored", "hybrid_chain_fields"),
 ):
     ORACLES[stored] = ORACLES[derived]

@@ -13,6 +13,7 @@ from ..functions.embed import HashingEmbedder, embed
 from ..functions.urls import join_url, markdown_link, remove_first, strip_query
 from ..operators.fusion import ChainFusion, ReciprocalRankFusion
 from ..operators.ivf import IvfIndex, build_ivf, load_ivf, recall
+from ..operators.bounded_bm25 import BoundedBM25, block_maxima
 from ..operators.pruned_cells import build_pruned, load_pruned, pruned_search
 from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_index, load_index, save_index
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
@@ -142,6 +143,22 @@ def bm25_fields_stored(t):
     return FieldBM25Searcher(index, CANDIDATES).search(t.queries()).ranked(CANDIDATES)
 
 
+def stored_bounds(t: Inputs) -> tuple[KeywordIndex, DataFrame]:
+    """A stored document index and, written beside it, the largest term part per block."""
+    path = f"{store.shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    save_index(schema.documents(t.entries()), {WHOLE: "doc"}, path, buckets=16)
+    index = load_index(t.spark, path)
+    block_maxima(index).write.parquet(f"{path}/block_maxima")
+    return index, t.spark.read.parquet(f"{path}/block_maxima")
+
+
+@query
+def bm25_pruned(t):
+    """Top 50 BM25 documents, scoring only blocks whose bound reaches a floor of the 50th score."""
+    index, maxima = stored_bounds(t)
+    return BoundedBM25(index, maxima, CANDIDATES).search(t.queries()).ranked(CANDIDATES)
+
+
 def stored_cells(t: Inputs) -> tuple[IvfIndex, int]:
     cells = n_cells(t)
     path = f"{store.shared_dir(t.spark)}/cells-{uuid.uuid4().hex}"
