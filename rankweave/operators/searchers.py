@@ -165,14 +165,17 @@ class VectorSearcher(BaseSearcher):
         index: IvfIndex | None = None,
         nprobe: int = 32,
         digits: int = 6,
+        dimension: int | None = None,
     ):
         if use_index and index is None:
             raise ValueError("use_index needs an index")
         mine = vectors.filter(F.col("model_name") == model_name)
-        sample = mine.select(F.size("vec").alias("d")).first()
-        if sample is None:
-            raise ValueError(f"no vectors for model {model_name!r}")
-        self.dimension = sample.d
+        if dimension is None:
+            sample = mine.select(F.size("vec").alias("d")).first()
+            if sample is None:
+                raise ValueError(f"no vectors for model {model_name!r}")
+            dimension = sample.d
+        self.dimension = dimension
         self.vectors = mine
         self.max_count = max_count
         self.embedder = embedder
@@ -180,6 +183,14 @@ class VectorSearcher(BaseSearcher):
         self.nprobe = nprobe
         self.digits = digits
 
+    @classmethod
+    def by_name(cls, spark, root: str, model_name: str, *, max_count: int, **options) -> VectorSearcher:
+        """The searcher of a model from the registry at ``root``; KeyError for an unknown name."""
+        from ..sources.registry import lookup, model_vectors
+
+        row = lookup(spark, root, model_name)
+        return cls(model_vectors(spark, row), model_name=model_name, max_count=max_count, dimension=row.dimension, **options)
+
     def search(self, queries):
         queries = as_queries(queries)
         if "vec" in queries.df.columns:

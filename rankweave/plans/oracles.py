@@ -367,6 +367,7 @@ for stored, derived in (
     ("knn_index_stored", "knn_distance"),
     ("knn_pruned", "knn_distance"),
     ("bm25_pruned", "bm25_document"),
+    ("knn_by_name", "knn_exact"),
     ("hybrid_stored", "hybrid_chain_fields"),
 ):
     ORACLES[stored] = ORACLES[derived]

@@ -19,6 +19,7 @@ from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_i
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
 from ..operators.searchers import BM25Searcher, FieldBM25Searcher, VectorSearcher
 from ..sources import catalog, pages, store
+from ..sources.registry import register_vectors
 from .inputs import BASE_URL, Inputs
 from .queryset import QuerySet, as_queries
 from .result import SearchResult
@@ -216,6 +217,14 @@ def knn_pruned(t):
     return pruned_search(stored_pruned(t), t.hybrid_queries(), CANDIDATES)[0]
 
 
+@query
+def knn_by_name(t):
+    """Vectors of several models written with a registry; the searcher finds its model by name."""
+    root = f"{store.shared_dir(t.spark)}/models-{uuid.uuid4().hex}"
+    register_vectors(t.vectors().unionByName(t.labelled_vectors()), root)
+    return VectorSearcher.by_name(t.spark, root, MODEL, max_count=CANDIDATES).search(t.hybrid_queries()).ranked(CANDIDATES)
+
+
 @query
 def knn_text(t):
     """Documents and query texts through the embedding function."""
