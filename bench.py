@@ -34,7 +34,9 @@ from rankweave import (
     save_index,
 )
 from rankweave import schema
+from rankweave.operators.bounded_bm25 import BoundedBM25, block_maxima
 from rankweave.operators.keyword_index import TEXT_FIELDS, WHOLE
+from rankweave.operators.pruned_cells import build_pruned, load_pruned, pruned_search
 from rankweave.plans.inputs import Inputs
 from rankweave.plans.queries import DIMENSION, MODEL
 from rankweave.session import local_session
@@ -95,6 +97,13 @@ def main() -> None:
 
     timed("bm25_document", search(keyword))
     timed("bm25_fields", search(fields))
+    doc_index = load_index(spark, f"{root}/doc")
+    timed("build_block_maxima", lambda: block_maxima(doc_index).write.parquet(f"{root}/doc/block_maxima"), 1)
+    bounded = BoundedBM25(doc_index, spark.read.parquet(f"{root}/doc/block_maxima"), 50)
+    timed("bm25_pruned", lambda: run(bounded.search(as_queries(asked)).df))
+    timed("build_pruned_cells", lambda: build_pruned(t.vectors(), cells).save(f"{root}/pruned"), 1)
+    pruned = load_pruned(spark, f"{root}/pruned")
+    timed("knn_pruned", lambda: run(pruned_search(pruned, asked, 50)[0]))
     timed("knn_exact", search(exact))
     timed("knn_index", search(near))
     timed("fuse_chain", search(keyword, exact, fusion_method=ChainFusion()))
