@@ -368,6 +368,7 @@ for stored, derived in (
     ("knn_pruned", "knn_distance"),
     ("bm25_pruned", "bm25_document"),
     ("knn_by_name", "knn_exact"),
+    ("pages_from_files", "page_links"),
     ("hybrid_stored", "hybrid_chain_fields"),
 ):
     ORACLES[stored] = ORACLES[derived]

@@ -19,6 +19,7 @@ from ..operators.keyword_index import TEXT_FIELDS, WHOLE, KeywordIndex, derive_i
 from ..operators.rerank import MaxSimReranker, PairReranker, TruncatedPairReranker
 from ..operators.searchers import BM25Searcher, FieldBM25Searcher, VectorSearcher
 from ..sources import catalog, pages, store
+from ..sources.page_files import read_page_files, write_page_files
 from ..sources.registry import register_vectors
 from .inputs import BASE_URL, Inputs
 from .queryset import QuerySet, as_queries
@@ -409,6 +410,15 @@ def page_links(t):
     return t.table("pages").select("page_id", F.posexplode(pages.page_links(F.col("html"))).alias("pos", "link"))
 
 
+@query
+def pages_from_files(t):
+    """The pages written out as one file each, read back from the folder, and their links."""
+    folder = f"{store.shared_dir(t.spark)}/page-files-{uuid.uuid4().hex}"
+    write_page_files(t.table("pages"), folder)
+    read, _ = read_page_files(t.spark, folder)
+    return read.select("page_id", F.posexplode(pages.page_links(F.col("html"))).alias("pos", "link"))
+
+
 @query
 def links_minus_main(t):
     rest = remove_first(F.col("other_links"), F.col("main_link"))
