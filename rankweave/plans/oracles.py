@@ -369,6 +369,7 @@ for stored, derived in (
     ("bm25_pruned", "bm25_document"),
     ("knn_by_name", "knn_exact"),
     ("pages_from_files", "page_links"),
+    ("catalog_page", "catalog_parse"),
     ("hybrid_stored", "hybrid_chain_fields"),
 ):
     ORACLES[stored] = ORACLES[derived]

@@ -373,6 +373,25 @@ def catalog_parse(t):
     return catalog.parse_catalog(t.catalog_lines(), BASE_URL)[0]
 
 
+@query
+def catalog_page(t):
+    """Catalog pages of up to 1,000 issues each, made from the orders, read back to issues."""
+    lines = t.catalog_lines()
+    head = F.regexp_extract("line", r"^(Issue #\d+)( — .*)$", 1)
+    rest = F.regexp_extract("line", r"^(Issue #\d+)( — .*)$", 2)
+    link = F.concat(F.lit('<a class="t" href="'), F.col("href"), F.lit('">'))
+    inner = F.when(head != "", F.concat(link, head, F.lit("</a><time>"), rest, F.lit("</time>"))).otherwise(
+        F.concat(link, F.col("line"), F.lit("</a>"))
+    )
+    item = F.concat(F.lit('\n  <div class="issue">'), inner, F.lit("</div>"))
+    numbered = lines.withColumn("page", F.floor(F.regexp_extract("line", r"(\d+)", 1).cast("long") / 1000))
+    html = numbered.groupBy("page").agg(
+        F.concat(F.lit('<html><div class="head"><a href="/">home</a></div><div class="issues">'),
+                 F.array_join(F.collect_list(item), ""), F.lit("</div></html>")).alias("html")
+    )
+    return catalog.parse_catalog(catalog.catalog_lines(html), BASE_URL)[0]
+
+
 @query
 def catalog_quarantine(t):
     return catalog.parse_catalog(t.catalog_lines(), BASE_URL)[1]

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import join_url
+from .pages import decoded, element, page_links
 
-# Fixed value: the form of a catalog line.
+# The form of a catalog line, and the classes of the list and of its items.
 LINE = r"(?U)^Issue #(\d+)\s+—\s+(\w+)\s+(\d+)\W+(\d+)$"
+LIST_CLASS, ITEM_CLASS = "issues", "issue"
 
 
 def parse_catalog(lines: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
@@ -33,3 +35,18 @@ def parse_catalog(lines: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame
         *[c for c in lines.columns if c not in ("line", "href")],
     )
     return parsed, read.filter(~F.coalesce(good, F.lit(False))).select(*lines.columns)
+
+
+def catalog_lines(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``(line, href)`` of every issue division of the issue list of each catalog page.
+
+    The list starts at the division of class ``issues``; each division of class ``issue`` after
+    it gives its text (tags dropped, references decoded, white space at both ends removed) and
+    the first link it holds (null without).  A page without the list gives no lines; an issue
+    division is taken to hold no other division.
+    """
+    listed = F.regexp_extract(F.col(html), rf"""(?is)<div\b[^>]*?\sclass\s*=\s*["']?{LIST_CLASS}["'\s>].*""", 0)
+    items = F.regexp_extract_all(listed, F.lit(element("div", ITEM_CLASS)), F.lit(0))
+    rows = pages.select(F.explode(items).alias("item"))
+    text = decoded(F.regexp_replace(F.regexp_replace("item", r"<[^>]*>", ""), r"^\s+|\s+$", ""))
+    return rows.select(text.alias("line"), F.get(page_links(F.col("item")), F.lit(0)).alias("href"))
