@@ -60,9 +60,18 @@ def all_of(fragment: Column, pattern: str) -> Column:
     return F.regexp_extract_all(fragment, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it.
+
+    Spark writes a column out wherever it is named, and inside array functions it finds no
+    common parts; a function of the element of an array of one is given a computed value.
+    """
+    return F.get(F.transform(F.array(value), lambda held: use(held)), F.lit(0))
+
+
 def held_by(fragment: Column, pattern: str) -> Column:
     """What the first match holds; null without one."""
-    return F.when(fragment.rlike(pattern), F.regexp_extract(fragment, pattern, 1))
+    return F.get(F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def text_of(fragment: Column) -> Column:
@@ -98,68 +107,99 @@ def entry(fits: Column, **fields: Column) -> Column:
 
 def described_item(item: Column) -> Column:
     """A description with a marked link, or one line of link and name."""
-    desc = held_by(item, element("p", "desc"))
-    name = F.coalesce(held_by(item, element("p", "name")), held_by(desc, element("span", "name")))
-    author, content, links = text_of(name), stripped(text_of(desc)), page_links(item)
-    marked = held_by(desc, element("span", "mainlink"))
-    title, target = text_of(marked), F.get(page_links(marked), F.lit(0))
-    long = entry(
-        desc.isNotNull() & target.isNotNull(),
-        title=title,
-        author=author,
-        content=without_start(without_start(content, title), F.lit(" — ")),
-        main_link=target,
-        other_links=remove_first(links, target),
-    )
-    single = F.size(links) == 1
-    line = entry(
-        desc.isNotNull() & author.isNotNull(),
-        title=stripped(without_end(content, author)),
-        author=author,
-        main_link=F.when(single, F.get(links, F.lit(0))),
-        other_links=F.when(single, no_links()).otherwise(links),
-    )
-    return F.when(marked.isNotNull(), long).otherwise(line)
+
+    def long(desc: Column, marked: Column, author: Column, content: Column, links: Column) -> Column:
+        def of(title: Column, target: Column) -> Column:
+            return entry(
+                desc.isNotNull() & target.isNotNull(),
+                title=title,
+                author=author,
+                content=let(without_start(content, title), lambda rest: without_start(rest, F.lit(" — "))),
+                main_link=target,
+                other_links=remove_first(links, target),
+            )
+
+        return let(text_of(marked), lambda title: let(F.get(page_links(marked), F.lit(0)), lambda target: of(title, target)))
+
+    def line(desc: Column, author: Column, content: Column, links: Column) -> Column:
+        single = F.size(links) == 1
+        return entry(
+            desc.isNotNull() & author.isNotNull(),
+            title=stripped(without_end(content, author)),
+            author=author,
+            main_link=F.when(single, F.get(links, F.lit(0))),
+            other_links=F.when(single, no_links()).otherwise(links),
+        )
+
+    def of(desc: Column, marked: Column, author: Column, content: Column, links: Column) -> Column:
+        return F.when(marked.isNotNull(), long(desc, marked, author, content, links)).otherwise(
+            line(desc, author, content, links)
+        )
+
+    def of_desc(desc: Column) -> Column:
+        name = F.coalesce(held_by(item, element("p", "name")), held_by(desc, element("span", "name")))
+        return let(held_by(desc, element("span", "mainlink")), lambda marked: let(
+            text_of(name), lambda author: let(stripped(text_of(desc)), lambda content: let(
+                page_links(item), lambda links: of(desc, marked, author, content, links)
+            ))
+        ))
+
+    return let(held_by(item, element("p", "desc")), of_desc)
 
 
 def primary_item(item: Column) -> Column:
     """A primary link, the first division that opens after it, and a cell of metadata."""
     link = element("a", "primary")
-    after = F.regexp_extract(item, link + "(.*)", 2)
-    body = held_by(after, r"(?is)<div\b[^>]*>(.*?)</div\s*>")
-    meta = stripped(text_of(held_by(item, element("td", "metadata"))))
-    opened = F.regexp_extract(item, link, 0)
-    return entry(
-        item.rlike(link) & body.isNotNull() & meta.isNotNull(),
-        title=text_of(held_by(item, link)),
-        author=metadata_author(meta),
-        content=text_of(body),
-        main_link=strip_query(F.get(page_links(opened), F.lit(0))),
-        other_links=F.transform(page_links(body), strip_query),
-        tag=metadata_tag(meta),
-    )
+
+    def of(body: Column, meta: Column) -> Column:
+        opened = F.regexp_extract(item, link, 0)
+        return entry(
+            body.isNotNull() & meta.isNotNull(),
+            title=text_of(held_by(item, link)),
+            author=metadata_author(meta),
+            content=text_of(body),
+            main_link=strip_query(F.get(page_links(opened), F.lit(0))),
+            other_links=F.transform(page_links(body), strip_query),
+            tag=metadata_tag(meta),
+        )
+
+    def of_rest(after: Column) -> Column:
+        return let(held_by(after, r"(?is)<div\b[^>]*>(.*?)</div\s*>"), lambda body: let(
+            stripped(text_of(held_by(item, element("td", "metadata")))), lambda meta: of(body, meta)
+        ))
+
+    # Nothing comes after a link that isn't there.
+    return let(F.when(item.rlike(link), F.regexp_extract(item, link + "(.*)", 2)), of_rest)
 
 
 def titled_rows(table: Column) -> Column:
     """Entries of the titled links in a table: text in the row after theirs, author in the next."""
-    rows = all_of(table, r"(?is)<tr\b[^>]*>.*?</tr\s*>")
 
-    def of_row(row: Column, i: Column) -> Column:
-        text_row, author_row = F.get(rows, i + 1), F.get(rows, i + 2)
+    def of_rows(rows: Column) -> Column:
+        def of_links(links: Column, text_row: Column, content: Column, author: Column) -> Column:
+            def of_link(link: Column) -> Column:
+                return entry(
+                    F.lit(True),
+                    title=text_of(link),
+                    author=author,
+                    content=content,
+                    main_link=strip_query(F.get(page_links(link), F.lit(0))),
+                    other_links=F.coalesce(F.transform(page_links(text_row), strip_query), no_links()),
+                )
 
-        def of_link(link: Column) -> Column:
-            return entry(
-                F.lit(True),
-                title=text_of(link),
-                author=text_of(author_row),
-                content=text_of(text_row),
-                main_link=strip_query(F.get(page_links(link), F.lit(0))),
-                other_links=F.coalesce(F.transform(page_links(text_row), strip_query), no_links()),
-            )
+            return F.transform(links, of_link)
+
+        def of_row(row: Column, i: Column) -> Column:
+            text_row, author_row = F.get(rows, i + 1), F.get(rows, i + 2)
+            return let(all_of(row, TITLED), lambda links: F.when(F.size(links) > 0, let(
+                text_of(text_row), lambda content: let(
+                    text_of(author_row), lambda author: of_links(links, text_row, content, author)
+                )
+            )).otherwise(F.array().cast(ENTRIES)))
 
-        return F.transform(all_of(row, TITLED), of_link)
+        return F.flatten(F.transform(rows, of_row))
 
-    return F.flatten(F.transform(rows, of_row))
+    return let(all_of(table, r"(?is)<tr\b[^>]*>.*?</tr\s*>"), of_rows)
 
 
 def metadata_tag(text: Column) -> Column:
@@ -178,6 +218,47 @@ def metadata_author(text: Column) -> Column:
     return F.when(tag.isNull(), text).otherwise(F.trim(cut))
 
 
+def read_page(html: Column) -> Column:
+    """``(entries, error)`` of a page; every part of it is computed once, and only if it is needed."""
+
+    def found(entries: Column) -> Column:
+        return F.struct(entries.cast(ENTRIES).alias("entries"), F.lit(None).cast("string").alias("error"))
+
+    def failed(why: str) -> Column:
+        return F.struct(F.lit(None).cast(ENTRIES).alias("entries"), F.lit(why).alias("error"))
+
+    def items(within: Column, classes: str, read: Callable[[Column], Column]) -> Column:
+        return F.transform(all_of(within, element("table", classes)), read)
+
+    def complete(entries: Column) -> Column:
+        return F.coalesce(F.forall(entries, lambda e: e.isNotNull()), F.lit(False))
+
+    def of_tables(tables: Column) -> Column:
+        nested = F.exists(tables, lambda t: F.substring(t, 2, 1 << 30).rlike(r"(?i)<table\b"))
+        unclosed = F.regexp_count(html, F.lit(r"(?i)<table\b")) != F.size(tables)
+        content = F.when(html.rlike(CONTENT), F.regexp_extract(html, CONTENT, 0))
+
+        def titled(entries: Column) -> Column:
+            alone = F.size(all_of(html, TITLED)) != F.size(entries)
+            return F.when(alone, failed("a titled link outside the rows of a table")).otherwise(found(entries))
+
+        def primary(entries: Column) -> Column:
+            rows = F.flatten(F.transform(tables, titled_rows))
+            return F.when((F.size(entries) > 0) & complete(entries), found(entries)).otherwise(let(rows, titled))
+
+        def described(entries: Column) -> Column:
+            return F.when(complete(entries), found(entries)).otherwise(let(items(html, "item", primary_item), primary))
+
+        return (
+            F.when(nested, failed("a table inside a table"))
+            .when(unclosed, failed("a table that isn't closed"))
+            .otherwise(let(items(content, "(?:el-item|item)", described_item), described))
+        )
+
+    tables = all_of(html, r"(?is)<table\b[^>]*>.*?</table\s*>")
+    return F.when(html.isNull(), failed("no page")).otherwise(let(tables, of_tables))
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Pages ``(issue_id, html, ...)`` with ``entries`` and ``error`` for ``html``.
 
@@ -185,42 +266,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     is null exactly where none does; ``error`` then says why.  A page that holds nothing gives
     an empty array.
     """
-    html = F.col("html")
-    tables = all_of(html, r"(?is)<table\b[^>]*>.*?</table\s*>")
-    nested = F.exists("_tables", lambda t: F.substring(t, 2, 1 << 30).rlike(r"(?i)<table\b"))
-    unclosed = F.regexp_count(html, F.lit(r"(?i)<table\b")) != F.size("_tables")
-
-    def items(within: Column, classes: str, read: Callable[[Column], Column]) -> Column:
-        return F.transform(all_of(within, element("table", classes)), read)
-
-    def complete(found: str) -> Column:
-        return F.coalesce(F.forall(found, lambda e: e.isNotNull()), F.lit(False))
-
-    content = F.when(html.rlike(CONTENT), F.regexp_extract(html, CONTENT, 0))
-    read = pages.withColumn("_tables", tables).withColumns(
-        {
-            "_described": items(content, "(?:el-item|item)", described_item),
-            "_primary": items(html, "item", primary_item),
-            "_titled": F.flatten(F.transform("_tables", titled_rows)),
-        }
-    )
-    primary = (F.size("_primary") > 0) & complete("_primary")
-    alone = F.size(all_of(html, TITLED)) != F.size("_titled")
-    error = (
-        F.when(html.isNull(), "no page")
-        .when(nested, "a table inside a table")
-        .when(unclosed, "a table that isn't closed")
-        .when(complete("_described") | primary, None)
-        .when(alone, "a titled link outside the rows of a table")
-    )
-    entries = (
-        F.when(F.col("error").isNotNull(), F.lit(None).cast(ENTRIES))
-        .when(complete("_described"), F.col("_described"))
-        .when(primary, F.col("_primary"))
-        .otherwise(F.col("_titled"))
-    )
-    done = read.withColumn("error", error).withColumn("entries", entries)
-    return done.select(*[c for c in pages.columns if c != "html"], "entries", "error")
+    kept = [c for c in pages.columns if c != "html"]
+    # As rows of an array of one: a filter on what was read doesn't read the page again.
+    return pages.select(*kept, F.inline_outer(F.array(read_page(F.col("html")))))
 
 
 def entries_of(parsed: DataFrame) -> DataFrame:

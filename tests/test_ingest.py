@@ -331,3 +331,11 @@ def test_ingest_from_a_stream(spark, tmp_path):
     assert [(i, n) for i, _, n in issues] == [(1, 2), (2, 2), (3, 2)]
     assert titles == ["Fast & small", "Fifth", "Fourth", "One line", "Second", "Third"]
     assert hits(library, "second") == ["Second"]
+
+
+def test_a_page_is_read_once(spark):
+    """A value named in several places is computed in one: the plan holds every pattern a few times."""
+    page = spark.createDataFrame([(1, LAYOUT_1)], "issue_id bigint, html string")
+    plan = pages.entries_of(pages.parse_pages(page))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<p\\b") <= 4
+    assert plan.count("<table\\b") <= 8
