@@ -339,3 +339,9 @@ def test_a_page_is_read_once(spark):
     plan = pages.entries_of(pages.parse_pages(page))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<p\\b") <= 4
     assert plan.count("<table\\b") <= 8
+
+
+def test_the_quarantine_filter_does_not_read_pages_again(spark):
+    page = spark.createDataFrame([(1, LAYOUT_1)], "issue_id bigint, html string")
+    plan = pages.failures_of(pages.parse_pages(page))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<table\\b") <= 8
