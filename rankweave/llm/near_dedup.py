@@ -7,10 +7,13 @@ shingles in that order.  Texts with an equal sketch are candidates; two texts ar
 an alignment of their shingle sequences matches enough: matched / (all - matched).
 
 Texts of equal words are one node before anything else happens, so exact copies never meet
-in a bucket.  A bucket of few nodes compares them all; in a larger one every node is compared
-with the node that most buckets have in common and with its neighbours in an order of the
-sketches, a number of pairs in proportion to the bucket.  Classes are the connected
-components of the links.
+in a bucket.  A bucket of few nodes compares them all; in a larger one every node is first
+compared with the node that most buckets have in common and with its neighbours in an order of
+the sketches, a number of pairs in proportion to the bucket.  Then all other pairs of a larger
+bucket that these links have not brought into one class are looked at, tile by tile: numbers of
+shingles and histograms of them rule out pairs that no alignment can link, and the rest are
+aligned.  Classes are the connected components of the links, the same as if every pair of
+every bucket had been aligned.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from .common import NO_ID, documents, empty_if_null, fresh, key_of, portions, st
 from .kernels import BYTE_VALUES, BYTES, IS_ALNUM, TO_LOWER, U64, WORDS, Roller, mix, runs, slices
 
 _SECOND = Roller(0xE7037ED1A0B428DB)
+# Bins of a text's shingle histogram, and nodes of a large bucket that are compared at once.
+BINS = 128
+TILE = 512
 
 
 @dataclass(frozen=True)
@@ -148,18 +154,81 @@ def _node(words: np.ndarray) -> bytes | None:
     return np.concatenate(parts).tobytes()
 
 
+def histogram(keys: np.ndarray) -> np.ndarray:
+    """How many keys fall into each bin; counts over 255 are 255, which makes differences smaller only."""
+    counts = np.bincount((mix(keys) >> U64(57)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def may_link(n: int, bins: np.ndarray, ns: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of the others an alignment could still link to a text of ``n`` shingles.
+
+    Shingles that lie in a bin of one text and not in the other's match nothing, so matched is
+    at most half of what is left; a pair that is refused here gets 0 from ``aligned``.
+    """
+    total = ns + n
+    fits = np.minimum(ns, n) >= least * np.maximum(ns, n)
+    fits[fits] = np.abs(others[fits].astype(np.int16) - bins.astype(np.int16)).sum(axis=1) <= (
+        total[fits] - 2 * (least * total[fits] / (1 + least) - 1e-9)
+    )
+    return fits
+
+
 def _nodes(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(s)
         for batch in portions(batches):
-            nodes, sketches = [], []
+            nodes, sketches, sizes, bins = [], [], [], []
             for words, grams in shingles(batch.column("text"), s.words):
+                keys = labelled(grams)
                 nodes.append(_node(words))
-                sketches.append(order_sketches(labelled(grams), seeds, s.minima).view(np.int64) if len(words) else None)
+                sketches.append(order_sketches(keys, seeds, s.minima).view(np.int64) if len(words) else None)
+                sizes.append(len(keys))
+                bins.append(histogram(keys).tobytes() if len(words) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("k"), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["uid", "k", "node", "sketches"],
-            )
+                [batch.column("uid"), batch.column("k"), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())),
+                 pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())],
+                names=["uid", "k", "node", "sketches", "n", "bins"],
+            )
+
+    return run
+
+
+def _across(s: Settings):
+    """Pairs of two tiles whose classes differ and which an alignment could link."""
+
+    def pairs(group: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+        nodes = group.column("node").to_pylist()
+        label = group.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        n = group.column("n").to_numpy()
+        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(len(nodes), BINS)
+        tile, i, j = group.column("tile").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        a, b = [], []
+        for x in left:
+            others = right[right > x] if i == j else right
+            others = others[label[others] != label[x]]
+            for y in others[may_link(n[x], bins[x], n[others], bins[others], s.similarity)]:
+                one, two = nodes[x], nodes[y]
+                a.append(min(one, two))
+                b.append(max(one, two))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            at = 0
+            for end in ends.tolist():
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in pairs(rows.slice(at, end - at))], names=["a", "b"])
+                at = end
+            held = rows.slice(at)
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in pairs(held)], names=["a", "b"])
 
     return run
 
@@ -184,8 +253,9 @@ def _align(s: Settings):
     return run
 
 
-def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of nodes to align, a < b, from a table of (node, sketches).
+def candidates(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes to align first, a < b, from a table of (node, sketches), and the
+    (bucket, node, size) of the buckets whose other pairs are left to ``rest_of``.
 
     A bucket too large to compare all is also split by a second sketch (and with more levels
     what is still large by a third); texts close to each other, though not to the bucket's
@@ -207,6 +277,7 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
             # How much company a node has over all its buckets: texts that others derive from come first.
             company = ranked.groupBy("node").agg(F.sum("size").alias("company"))
             ranked = stored(ranked.join(company, "node"), "near-ranked")
+            first = ranked.where(F.col("size") > s.all_pairs).select("bucket", "node", "size")
         pairs = _pairs_of(ranked, s)
         found = pairs if found is None else found.unionByName(pairs)
         if level + 1 < s.levels:
@@ -216,10 +287,32 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
             split = split.withColumn("last", F.pmod(F.col("last") + F.col("step"), F.lit(s.sketches)))
             key = F.xxhash64("bucket", "last", at(F.col("last"))).alias("bucket")
             rows = split.select("node", "company", "last", key, *following)
-    return found.distinct()
+    return found.distinct(), first
+
+
+def rest_of(large: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, s: Settings) -> DataFrame:
+    """Every other pair of the large buckets that could join two classes.
+
+    Two nodes of one class need no link, so only buckets with nodes of several classes are
+    left.  They are cut into tiles, and each two tiles are compared by a task's step of their
+    own, whose size does not follow from the bucket's; only pairs that may link become rows.
+    """
+    named = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    rows = named.join(mixed.select("bucket"), "bucket", "left_semi").withColumns(
+        {"tile": F.pmod(F.xxhash64("node"), tiles).cast("int"), "tiles": tiles}
+    )
+    rows = rows.join(nodes.select("node", "n", "bins"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "label", "n", "bins"
+    )
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(_across(s), "a binary, b binary").distinct().join(done, ["a", "b"], "left_anti")
 
 
 def _pairs_of(ranked: DataFrame, s: Settings) -> DataFrame:
+    """All pairs of small buckets, and of large ones those that bring most of a class together."""
     small = ranked.where(F.col("size") <= s.all_pairs)
     groups = small.groupBy("bucket").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     pairs = groups.select(F.explode(F.expr(
@@ -280,12 +373,31 @@ def classified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s: S
     table read from files, as its rows are numbered more than once; other numbers are an error.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), key_of(doc_id).alias("k"), empty_if_null(text).alias("text"))
-    seen = stored(rows.mapInArrow(_nodes(s), "uid long, k long, node binary, sketches array<long>"), "near-nodes")
-    firsts = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"), F.first("sketches").alias("sketches"))
+    seen = stored(rows.mapInArrow(_nodes(s), "uid long, k long, node binary, sketches array<long>, n long, bins binary"), "near-nodes")
+    firsts = seen.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("sketches", "n", "bins")]
+    )
     firsts = stored(firsts, "near-distinct")
-    pairs = stored(candidates(firsts, s), "near-pairs")
+    pairs, large = candidates(firsts, s)
+    pairs = stored(pairs, "near-pairs")
     texts = rows.select("uid", "text")
-    # Both joins below use one exchange of the texts.
+    labels = components(_linked(pairs, firsts, texts, s))
+    rest = stored(rest_of(large, firsts, labels, pairs, s), "near-rest")
+    found = seen.select("uid", "k", "node").join(labels, "node", "left").select("uid", "k", F.coalesce("label", "node").alias("class"))
+    if not rest.limit(1).count():
+        return found
+    # Links of the rest join whole classes.
+    links = _linked(rest, firsts, texts, s)
+    for side in "ab":
+        links = links.join(labels.withColumnsRenamed({"node": side, "label": f"of_{side}"}), side, "left")
+    joined = links.select(*[F.coalesce(f"of_{side}", side).alias(side) for side in "ab"])
+    tops = components(joined.where("a != b")).withColumnsRenamed({"node": "class", "label": "top"})
+    return found.join(tops, "class", "left").select("uid", "k", F.coalesce("top", "class").alias("class"))
+
+
+def _linked(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose texts are similar enough, aligned and written."""
+    # Both text joins use one exchange of the texts.
     where = firsts.select("node", "uid")
     ends = pairs.join(where.withColumnsRenamed({"node": "a", "uid": "uid_a"}), "a").join(
         where.withColumnsRenamed({"node": "b", "uid": "uid_b"}), "b"
@@ -293,11 +405,7 @@ def classified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s: S
     half = ends.join(texts.withColumnsRenamed({"uid": "uid_b", "text": "text_b"}), "uid_b").select("a", "b", "uid_a", "text_b")
     whole = half.join(texts.withColumnsRenamed({"uid": "uid_a", "text": "text_a"}), "uid_a").select("a", "b", "text_a", "text_b")
     links = whole.mapInArrow(_align(s), "a binary, b binary, similarity double").where(F.col("similarity") >= s.similarity)
-    labels = components(stored(links, "near-verified"))
-    return (
-        seen.select("uid", "k", "node").join(labels, "node", "left")
-        .select("uid", "k", F.coalesce("label", "node").alias("class"))
-    )
+    return stored(links, "near-verified")
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
