@@ -46,3 +46,11 @@ def test_a_refused_pair_has_no_alignment():
             assert near_dedup.aligned(one, sets[y], 0.8) == 0.0
         assert fits[x]
     assert refused
+
+
+def test_dedup_keeps_one_of_every_two(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(twins(40))), "doc_id bigint, text string").write.parquet(path)
+    s = near_dedup.Settings(sketches=4, minima=1, all_pairs=2, neighbours=0, levels=1)
+    kept = near_dedup.dedup_near(spark.read.parquet(path), s=s)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
