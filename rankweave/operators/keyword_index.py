@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .sizing import Size
+from .sizing import Size, scoring_tasks
 
 WHOLE = "*"
 # No token is empty, so this stands for the document itself.
@@ -38,11 +38,13 @@ class KeywordIndex:
     buckets: int = 1
     analyzer: str = "simple"
     stop_words: tuple[str, ...] | None = None
-    # Of an index computed when it is read: the index of given terms alone.
-    narrow: Callable[[DataFrame], KeywordIndex] | None = None
+    # Of an index computed when it is read: the index of given terms alone, for a number of queries.
+    narrow: Callable[[DataFrame, int], KeywordIndex] | None = None
     narrowed: bool = False
+    # Of a stored index: how many documents it has.
+    documents: int | None = None
 
-    def for_terms(self, terms: DataFrame, size: Size) -> KeywordIndex:
+    def for_terms(self, terms: DataFrame, size: Size, queries: int = 1) -> KeywordIndex:
         """This index for the given query terms; only the search that has them may use it.
 
         A narrowed index shuffles no other words.  Terms too large to broadcast leave the
@@ -50,7 +52,7 @@ class KeywordIndex:
         """
         if self.narrow is None or not size.fits():
             return self
-        return self.narrow(terms.select("term").distinct())
+        return self.narrow(terms.select("term").distinct(), queries)
 
     def totals(self) -> Column:
         """Field to ``(n, total_len)``, one small map for the whole plan."""
@@ -137,21 +139,23 @@ def derive_index(
     The text is tokenized once: every document sends its length along as one
     more word, and the three tables read the same exchange.  What tells them
     apart is the sign of ``tf``; as that is a sum, no filter on it moves below
-    the exchange.  Words are spread by document, which the scoring needs too.
+    the exchange.  Words are spread by document, which the scoring needs too, over as many
+    tasks as the documents and the queries of a search need.
     """
     words = posting_rows(counted_words(docs, fields, analyzer, stop_words), mark_documents=True)
     spelled = tuple(fields), 1, analyzer, _words(stop_words)
 
-    def narrow(terms: DataFrame) -> KeywordIndex:
+    def narrow(terms: DataFrame, queries: int) -> KeywordIndex:
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
         wanted = words.join(F.broadcast(terms.union(mark)), "term", "left_semi")
-        return KeywordIndex(*_derived(wanted), *spelled, narrowed=True)
+        return KeywordIndex(*_derived(wanted, scoring_tasks(docs.count(), queries)), *spelled, narrowed=True)
 
     return KeywordIndex(*_derived(words), *spelled, narrow=narrow)
 
 
-def _derived(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counted = words.repartition("id").groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
+def _derived(words: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    dealt = words.repartition("id") if tasks is None else words.repartition(tasks, "id")
+    counted = dealt.groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
     postings = counted.filter(F.col("tf") > 0).withColumn("bucket", F.lit(0))
     totals = (
         counted.filter(F.col("tf") < 0)
@@ -211,7 +215,7 @@ def save_index(
 
 def load_index(spark: SparkSession, path: str) -> KeywordIndex:
     totals = spark.read.parquet(f"{path}/corpus_stats")
-    how = totals.select("field", "buckets", "analyzer", "stop_words", "delta").distinct().collect()
+    how = totals.select("field", "n", "buckets", "analyzer", "stop_words", "delta").distinct().collect()
     if len({(r.buckets, r.analyzer, _words(r.stop_words)) for r in how}) != 1:
         raise ValueError(f"{path} was written with different settings: {how}")
     whole = F.col("delta").isin(sorted({r.delta for r in how}))
@@ -223,6 +227,7 @@ def load_index(spark: SparkSession, path: str) -> KeywordIndex:
         how[0].buckets,
         how[0].analyzer,
         _words(how[0].stop_words),
+        documents=sum(r.n for r in how if r.field == how[0].field),
     )
 
 

@@ -15,7 +15,7 @@ from .ivf import IvfIndex
 from .keyword_index import KeywordIndex, bucket_of
 from .knn import exact_knn
 from .ranking import top_k
-from .sizing import Size, broadcast_if, salted_join
+from .sizing import Size, broadcast_if, salted_join, scoring_tasks
 
 # Scores are summed as integers of this fraction: the sum does not depend on
 # the order in which tasks deliver their parts, so a retried task changes nothing.
@@ -92,11 +92,11 @@ class BM25Searcher(BaseSearcher):
     def search(self, queries):
         queries = as_queries(queries)
         terms, size = queries.terms(self.index.analyzer, self.index.stop_words)
-        index = self.index.for_terms(terms, size)
+        index = self.index.for_terms(terms, size, queries.count)
         weights = self.weights(index, terms, size)
         n_fields = len(index.fields)
         if Size(size.rows * n_fields, size.bytes * n_fields).fits():
-            matches = self._spread(index, terms).join(F.broadcast(weights), ["field", "term"])
+            matches = self.spread(index, terms, queries.count).join(F.broadcast(weights), ["field", "term"])
         else:
             matches = self._salted(index, weights)
         damp = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avg_len"))
@@ -113,11 +113,13 @@ class BM25Searcher(BaseSearcher):
         )
 
 
-    def _spread(self, index: KeywordIndex, terms: DataFrame) -> DataFrame:
+    def spread(self, index: KeywordIndex, terms: DataFrame, queries: int) -> DataFrame:
         """The postings of the query terms, with every document in one task.
 
         A posting is shuffled once, however many queries ask for its term, and
-        the sum per query and document needs no further shuffle.
+        the sum per query and document needs no further shuffle.  The number of
+        tasks follows from the documents and queries, so a task holds no more
+        sums when either grows.
         """
         if index.narrowed:
             return index.postings
@@ -125,7 +127,9 @@ class BM25Searcher(BaseSearcher):
         wanted = terms.filter(F.length("term") > 0).select("term").distinct()
         wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
         found = index.postings.join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
-        return found.repartition("id")
+        if index.documents is None:
+            return found.repartition("id")
+        return found.repartition(scoring_tasks(index.documents, queries), "id")
 
     def _salted(self, index: KeywordIndex, weights: DataFrame) -> DataFrame:
         """More query terms than a broadcast holds: join by term, splitting hot ones."""

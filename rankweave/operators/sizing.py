@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # An id, a query id, a score and the row header.
 HIT_BYTES = 48
+# Pairs of a document and a query that a task scores at once; each is a row of its hash table.
+PAIRS_PER_TASK = 500_000
+# More tasks than this cost more than they save; their tables spill instead.
+MOST_TASKS = 20_000
+
+
+def scoring_tasks(documents: int, queries: int) -> int:
+    """Tasks that score all documents for all queries, so that what one holds doesn't grow with either."""
+    return max(1, min(MOST_TASKS, -(-documents * max(1, queries) // PAIRS_PER_TASK)))
 
 
 @dataclass(frozen=True)

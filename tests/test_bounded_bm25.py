@@ -38,3 +38,18 @@ def test_same_hits_as_the_plain_searcher_with_fewer_rows(spark, tmp_path):
     # A rare word beside common ones: documents without the rare word can't reach the 10th score.
     work = BoundedBM25(index, maxima, 10).work(as_queries(queries.where("query_id in (1, 2, 6)")))
     assert work["postings_joined"] < 0.5 * work["postings"]
+
+
+def test_postings_are_shuffled_once_by_document(spark, tmp_path):
+    """No plan of the search deals postings out by query or joins pairs of queries and documents."""
+    docs = corpus(spark)
+    save_index(docs, {WHOLE: "doc"}, str(tmp_path / "index"), buckets=4)
+    index = load_index(spark, str(tmp_path / "index"))
+    block_maxima(index).write.parquet(str(tmp_path / "maxima"))
+    queries = spark.createDataFrame([(1, "r1 c1 c2 c3"), (2, "r5 r9 c4")], "query_id long, query string")
+    hits = BoundedBM25(index, spark.read.parquet(str(tmp_path / "maxima")), 10).search(queries)
+    plan = hits.df._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    assert sum("REPARTITION_BY_NUM" in line for line in lines) == 1
+    assert not [line for line in lines if "SortMergeJoin" in line and " id#" in line.replace("[", " ").replace("(", " ")]
+    assert not [line for line in lines if "Exchange hashpartitioning(query_id" in line and ("block#" in line or " id#" in line)]
