@@ -7,11 +7,10 @@ log ratio of the two smoothed shares, in thousandths, and a document's weight is
 the gains of its features.  Adding Gumbel noise keyed by the document id and taking the
 highest scores draws documents without replacement in proportion to exp(weight / 1000).
 
-Inside a task the n-grams of a portion of text are interned in open-addressed numpy tables:
-words by their xxhash64, verified against the word itself; 2- and 3-grams by a hash of the
-ids of their words, verified against those ids.  A table slot holds its bucket and its
-count, so crc32 runs once a distinct n-gram, and every occurrence gathers its gain through
-its slot.  Counts leave a task as at most ``BUCKETS`` rows; the gains come back as a
+Inside a task the words of a portion of text are interned in an open-addressed numpy table by
+their xxhash64, verified against the word itself; a slot holds the word's crc32 and length.
+The crc32 of a 2- or 3-gram is joined from that of the n-gram before and its last word's, by
+byte tables for each length, for all occurrences at once.  Counts leave a task as at most ``BUCKETS`` rows; the gains come back as a
 broadcast array of ``BUCKETS`` integers.  The draw ranks by a range partition of the
 scores and per-partition offsets, so no task sees more than its range.
 """
@@ -156,15 +155,36 @@ SHIFTS = _shift_tables()
 SPACE_CRC = np.uint32(zlib.crc32(b" "))
 
 
+def _shifted(v: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """CRC values after so many zero bytes more."""
+    out = v.astype(np.uint32)
+    for k in range(int(zeros.max(initial=0)).bit_length()):
+        at = np.flatnonzero((zeros >> k) & 1)
+        out[at] = _apply(SHIFTS[k], out[at])
+    return out
+
+
+# For second texts of up to SHORT - 1 bytes: byte tables that append a space and the text, and the space's part.
+SHORT = 64
+JOINS = np.concatenate([
+    _shifted(np.arange(256, dtype=np.uint32) << np.uint32(8 * j), np.full(256, size + 1)) for size in range(SHORT) for j in range(4)
+])
+SPACES = _shifted(np.full(SHORT, SPACE_CRC), np.arange(SHORT))
+
+
 def crc_join(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
     """crc32 of first-text + ' ' + second-text from the crc32 of each and the second's length."""
-    out = first.astype(np.uint32)
-    for lengths, then in ((np.ones(len(out), np.int64), np.full(len(out), SPACE_CRC)), (second_bytes, second.astype(np.uint32))):
-        for k in range(int(lengths.max(initial=0)).bit_length()):
-            at = np.flatnonzero((lengths >> k) & 1)
-            out[at] = _apply(SHIFTS[k], out[at])
-        out ^= then
-    return out
+    v, size = first.astype(np.uint32), np.minimum(second_bytes, SHORT - 1)
+    at = size * 1024
+    out = JOINS[at + (v & 255)]
+    for j in (1, 2, 3):
+        out ^= JOINS[at + (256 * j) + ((v >> np.uint32(8 * j)) & 255)]
+    out ^= SPACES[size]
+    long = np.flatnonzero(second_bytes >= SHORT)
+    if len(long):
+        spaced = _shifted(v[long], np.ones(len(long), np.int64)) ^ SPACE_CRC
+        out[long] = _shifted(spaced, second_bytes[long])
+    return out ^ second.astype(np.uint32)
 
 
 def features(rows: np.ndarray, words: list[bytes], new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,24 +199,20 @@ def features(rows: np.ndarray, words: list[bytes], new: np.ndarray) -> Iterator[
     crc, size = np.zeros(len(table.first), np.uint32), np.zeros(len(table.first), np.int64)
     crc[distinct] = np.fromiter((zlib.crc32(text[i]) for i in table.first[distinct]), np.uint32, len(distinct))
     size[distinct] = np.fromiter((len(text[i]) for i in table.first[distinct]), np.int64, len(distinct))
+    crc, size = crc[wid], size[wid]
+    # The crc of the n-gram that ends in each word; n-grams over two texts are made, and dropped below.
+    value = crc
     for n in ORDERS:
+        if n > 1:
+            value = crc_join(value[:-1], crc[n - 1 :], size[n - 1 :])
         ends = np.arange(n - 1, len(words))
-        ends = ends[new[ends] & (rows[ends - n + 1] == rows[ends])]
-        parts = [wid[ends - n + 1 + i] for i in range(n)]
-        key = np.zeros(len(ends), np.uint64)
-        for p in parts:
-            key = (key ^ p.astype(np.uint64)) * GOLDEN + np.uint64(n)
-        grams = Table(len(ends))
-        slot = grams.intern(key, lambda a, b: np.all([p[a] == p[b] for p in parts], axis=0))
-        # A gram's slot keeps its bucket, computed once per distinct gram from its words' crcs.
-        distinct = np.flatnonzero(grams.first >= 0)
-        first = grams.first[distinct]
-        value = crc[parts[0][first]]
-        for p in parts[1:]:
-            value = crc_join(value, crc[p[first]], size[p[first]])
-        bucket = np.zeros(len(grams.first), np.int64)
-        bucket[distinct] = value % BUCKETS
-        yield rows[ends], bucket[slot]
+        whole = new[ends] & (rows[ends - n + 1] == rows[ends])
+        yield rows[ends[whole]], (value[whole] % np.uint32(BUCKETS)).astype(np.int64)
+        if len(words) == n:
+            # No longer n-grams; readers still get one part for every n.
+            for _ in ORDERS[n:]:
+                yield rows[:0], np.zeros(0, np.int64)
+            return
 
 
 def _counts(text: str):
@@ -246,7 +262,8 @@ def weigh(docs: DataFrame, gain: np.ndarray, text: str = "text") -> DataFrame:
                 words += np.bincount(rows[new], minlength=n)
                 for at, bucket in features(rows, ws, new):
                     grams += np.bincount(at, minlength=n)
-                    np.add.at(weight, at, g[bucket])
+                    # Sums of a piece's integers are far below 2^53, so they are exact as doubles.
+                    weight += np.bincount(at, g[bucket], minlength=n).astype(np.int64)
             arrays = [*batch.columns, pa.array(words), pa.array(grams), pa.array(weight)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
