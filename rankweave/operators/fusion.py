@@ -73,10 +73,13 @@ class ReciprocalRankFusion(FusionMethod):
 
     def fuse(self, search_results):
         def ranks(result: SearchResult) -> DataFrame:
-            rank = dense_ranks if result.is_small() else dense_ranks_unbounded
             # A hit without a number has no place in the list, however long that is.
             scored = result.df.drop("rank").where(F.col(result.col()).isNotNull())
-            return rank(scored, result.col(), result.descending()).select("query_id", "id", "rank")
+            if result.is_small():
+                ranked = dense_ranks(scored, result.col(), result.descending())
+            else:
+                ranked = dense_ranks_unbounded(scored, result.col(), result.descending(), tasks=result.tasks)
+            return ranked.select("query_id", "id", "rank")
 
         # A list without a metric has no order to rank by; an empty one adds nothing.
         lists = [ranks(r) for r in search_results if r.bound != 0]
@@ -86,9 +89,11 @@ class ReciprocalRankFusion(FusionMethod):
             return SearchResult(empty, RankMetric.SCORE, bound=0, n_queries=n_queries)
         place = F.col("rank") + self.k
         total = F.sum(1.0 / place) if self.mode == "sum_inverse" else 1.0 / F.sum(place)
-        fused = reduce(DataFrame.unionByName, lists).groupBy("query_id", "id").agg(
-            F.round(total, self.digits).alias("score")
-        )
+        every = reduce(DataFrame.unionByName, lists)
+        tasks = max((r.tasks or 0 for r in search_results), default=0)
+        if tasks:  # a long list: no task sums up more than its share
+            every = every.repartition(tasks, "query_id", "id")
+        fused = every.groupBy("query_id", "id").agg(F.round(total, self.digits).alias("score"))
         bound = _total([r.bound for r in search_results])
         if self.max_count is not None:
             fused = top_k(fused, self.max_count, [F.col("score").desc(), F.col("id").asc()])

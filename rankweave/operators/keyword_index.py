@@ -41,7 +41,7 @@ class KeywordIndex:
     # Of an index computed when it is read: the index of given terms alone, for a number of queries.
     narrow: Callable[[DataFrame, int], KeywordIndex] | None = None
     narrowed: bool = False
-    # Of a stored index: how many documents it has.
+    # Of a stored or narrowed index: how many documents it has.
     documents: int | None = None
 
     def for_terms(self, terms: DataFrame, size: Size, queries: int = 1) -> KeywordIndex:
@@ -148,7 +148,8 @@ def derive_index(
     def narrow(terms: DataFrame, queries: int) -> KeywordIndex:
         mark = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
         wanted = words.join(F.broadcast(terms.union(mark)), "term", "left_semi")
-        return KeywordIndex(*_derived(wanted, scoring_tasks(docs.count(), queries)), *spelled, narrowed=True)
+        n = docs.count()
+        return KeywordIndex(*_derived(wanted, scoring_tasks(n, queries)), *spelled, narrowed=True, documents=n)
 
     return KeywordIndex(*_derived(words), *spelled, narrow=narrow)
 

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sizing import salted_join
-
 # Up to this k Spark keeps only k rows per key before the shuffle.
 GROUP_LIMIT = 1000
 SHARDS = 64
@@ -33,26 +31,27 @@ def dense_ranks(df: DataFrame, value: str, descending: bool, rank: str = "rank")
     return df.withColumn(rank, F.dense_rank().over(W.partitionBy("query_id").orderBy(order)))
 
 
-def dense_ranks_unbounded(df: DataFrame, value: str, descending: bool, rank: str = "rank") -> DataFrame:
+def dense_ranks_unbounded(
+    df: DataFrame, value: str, descending: bool, rank: str = "rank", tasks: int | None = None
+) -> DataFrame:
     """Dense rank for lists of any length; like the other form, of values that aren't null.
 
-    The rank of a value is the number of distinct values before it.  Distinct
-    values are counted per thousandth: values rounded to six places leave at
-    most 1000 of them in a slice, and the running total per query then covers
+    The rank of a value is the number of distinct values before it.  Rows are dealt once, by
+    thousandths of the value, over ``tasks`` tasks; each thousandth is ranked where it lies, and
+    its highest rank is its number of distinct values.  The running total per query then covers
     slices, whose number follows from the value range and not from the rows.
     """
     sign = -1 if descending else 1
-    levels = df.groupBy("query_id", value).agg(
-        F.floor(F.col(value) * (1000 * sign)).cast("bigint").alias("_slice")
-    )
-    slices = levels.groupBy("query_id", "_slice").agg(F.count("*").alias("_n"))
+    sliced = df.withColumn("_slice", F.floor(F.col(value) * (1000 * sign)).cast("bigint"))
+    keys = ["query_id", "_slice"]
+    # The join below would drop such rows, on one of its sides before they are dealt.
+    sliced = sliced.where(F.col("query_id").isNotNull() & F.col("_slice").isNotNull())
+    dealt = sliced.repartition(*keys) if tasks is None else sliced.repartition(tasks, *keys)
+    within = W.partitionBy(*keys).orderBy(F.col(value) * sign)
+    ranked = dealt.withColumn("_in", F.dense_rank().over(within))
+    # The id is named so that both readers of the dealt rows want the same columns and share them.
+    slices = ranked.groupBy(*keys).agg(F.max(F.struct("_in", "id")).getField("_in").alias("_n"))
     before = W.partitionBy("query_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = W.partitionBy("query_id", "_slice").orderBy(F.col(value) * sign)
-    ranked = (
-        levels.withColumn("_in", F.dense_rank().over(within))
-        .join(slices, ["query_id", "_slice"])
-        .select("query_id", value, (F.col("_before") + F.col("_in")).alias(rank))
-    )
-    # Equal scores are common (copies of one text), so one level may be hot.
-    return salted_join(df, ranked, ["query_id", value], F.col("id"))
+    slices = slices.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = ranked.join(slices, keys)
+    return found.withColumn(rank, F.col("_before") + F.col("_in")).drop("_slice", "_in", "_before")

@@ -108,11 +108,16 @@ class BM25Searcher(BaseSearcher):
         if self.max_count is not None:
             order = [F.col("score").desc(), F.col("id").asc()]
             hits = top_k(hits, self.max_count, order)
+        # A list without a limit has about as many rows as there are pairs to score.
+        many = self.max_count is None and index.documents is not None
         return SearchResult(
-            hits, RankMetric.SCORE, bound=queries.hits_bound(self.max_count), n_queries=queries.count
+            hits,
+            RankMetric.SCORE,
+            bound=queries.hits_bound(self.max_count),
+            n_queries=queries.count,
+            tasks=scoring_tasks(index.documents, queries.count) if many else None,
         )
 
-
     def spread(self, index: KeywordIndex, terms: DataFrame, queries: int) -> DataFrame:
         """The postings of the query terms, with every document in one task.
 

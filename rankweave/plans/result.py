@@ -43,7 +43,8 @@ class SearchResult:
 
     ``bound`` is an upper limit on the number of hits where one is known;
     it is what allows a join to broadcast them.  ``order`` replaces the
-    metric's order where the metric is undefined.
+    metric's order where the metric is undefined.  ``tasks`` says over how many tasks
+    a step should deal hits without a known limit.
     """
 
     def __init__(
@@ -54,11 +55,13 @@ class SearchResult:
         bound: int | None = None,
         n_queries: int | None = None,
         order: Sequence[Column] | None = None,
+        tasks: int | None = None,
     ):
         self.df = df
         self.rank_metric = rank_metric
         self.bound = bound
         self.n_queries = n_queries
+        self.tasks = tasks
         self._order = order
 
     def descending(self) -> bool:
