@@ -33,7 +33,7 @@ from .kernels import BYTE_VALUES, BYTES, IS_ALNUM, TO_LOWER, U64, WORDS, Roller,
 
 _SECOND = Roller(0xE7037ED1A0B428DB)
 # Bins of a text's shingle histogram, and nodes of a large bucket that are compared at once.
-BINS = 128
+BINS = 1024
 TILE = 512
 
 
@@ -156,7 +156,7 @@ def _node(words: np.ndarray) -> bytes | None:
 
 def histogram(keys: np.ndarray) -> np.ndarray:
     """How many keys fall into each bin; counts over 255 are 255, which makes differences smaller only."""
-    counts = np.bincount((mix(keys) >> U64(57)).astype(np.int64), minlength=BINS)
+    counts = np.bincount((mix(keys) >> U64(54)).astype(np.int64), minlength=BINS)
     return np.minimum(counts, 255).astype(np.uint8)
 
 
