@@ -178,18 +178,25 @@ def _nodes(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(s)
         for batch in portions(batches):
-            nodes, sketches, sizes, bins = [], [], [], []
+            nodes, sketches = [], []
             for words, grams in shingles(batch.column("text"), s.words):
-                keys = labelled(grams)
                 nodes.append(_node(words))
-                sketches.append(order_sketches(keys, seeds, s.minima).view(np.int64) if len(words) else None)
-                sizes.append(len(keys))
-                bins.append(histogram(keys).tobytes() if len(words) else None)
+                sketches.append(order_sketches(labelled(grams), seeds, s.minima).view(np.int64) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("k"), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())),
-                 pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())],
-                names=["uid", "k", "node", "sketches", "n", "bins"],
-            )
+                [batch.column("uid"), batch.column("k"), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["uid", "k", "node", "sketches"],
+            )
+
+    return run
+
+
+def _histograms(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            keys = [labelled(grams) for _, grams in shingles(batch.column("text"), s.words)]
+            bins = pa.array([histogram(k).tobytes() for k in keys], pa.binary())
+            sizes = pa.array([len(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, bins], names=["node", "n", "bins"])
 
     return run
 
@@ -290,7 +297,7 @@ def candidates(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     return found.distinct(), first
 
 
-def rest_of(large: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, s: Settings) -> DataFrame:
+def rest_of(large: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, done: DataFrame, s: Settings) -> DataFrame:
     """Every other pair of the large buckets that could join two classes.
 
     Two nodes of one class need no link, so only buckets with nodes of several classes are
@@ -303,7 +310,10 @@ def rest_of(large: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFra
     rows = named.join(mixed.select("bucket"), "bucket", "left_semi").withColumns(
         {"tile": F.pmod(F.xxhash64("node"), tiles).cast("int"), "tiles": tiles}
     )
-    rows = rows.join(nodes.select("node", "n", "bins"), "node")
+    rows = stored(rows.select("bucket", "node", "label", "tile", "tiles"), "near-mixed")
+    members = stored(rows.select("node").distinct().join(nodes.select("node", "uid"), "node"), "near-members")
+    bins = texts.join(members, "uid").select("node", "text").mapInArrow(_histograms(s), "node binary, n long, bins binary")
+    rows = rows.join(bins, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "label", "n", "bins"
     )
@@ -373,16 +383,14 @@ def classified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s: S
     table read from files, as its rows are numbered more than once; other numbers are an error.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), key_of(doc_id).alias("k"), empty_if_null(text).alias("text"))
-    seen = stored(rows.mapInArrow(_nodes(s), "uid long, k long, node binary, sketches array<long>, n long, bins binary"), "near-nodes")
-    firsts = seen.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("sketches", "n", "bins")]
-    )
+    seen = stored(rows.mapInArrow(_nodes(s), "uid long, k long, node binary, sketches array<long>"), "near-nodes")
+    firsts = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"), F.first("sketches").alias("sketches"))
     firsts = stored(firsts, "near-distinct")
     pairs, large = candidates(firsts, s)
     pairs = stored(pairs, "near-pairs")
     texts = rows.select("uid", "text")
     labels = components(_linked(pairs, firsts, texts, s))
-    rest = stored(rest_of(large, firsts, labels, pairs, s), "near-rest")
+    rest = stored(rest_of(large, firsts, texts, labels, pairs, s), "near-rest")
     found = seen.select("uid", "k", "node").join(labels, "node", "left").select("uid", "k", F.coalesce("label", "node").alias("class"))
     if not rest.limit(1).count():
         return found
