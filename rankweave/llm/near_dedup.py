@@ -276,17 +276,16 @@ def candidates(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     places = F.explode(F.sequence(F.lit(0), F.lit(s.sketches - 1))).alias("last")
     rows = nodes.select("node", "sketches", places)
     rows = rows.select("node", "last", F.xxhash64("last", at(F.col("last"))).alias("bucket"), *following)
-    found = None
+    levels = None
     for level in range(s.levels):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         ranked = stored(rows.join(sizes, "bucket"), "near-buckets")
-        if found is None:
+        if levels is None:
             # How much company a node has over all its buckets: texts that others derive from come first.
             company = ranked.groupBy("node").agg(F.sum("size").alias("company"))
             ranked = stored(ranked.join(company, "node"), "near-ranked")
             first = ranked.where(F.col("size") > s.all_pairs).select("bucket", "node", "size")
-        pairs = _pairs_of(ranked, s)
-        found = pairs if found is None else found.unionByName(pairs)
+        levels = ranked if levels is None else levels.unionByName(ranked)
         if level + 1 < s.levels:
             large = ranked.where(F.col("size") > s.all_pairs).select("node", "company", "last", "bucket")
             step = F.explode(F.sequence(F.lit(1), F.lit(s.splits))).alias("step")
@@ -294,7 +293,8 @@ def candidates(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             split = split.withColumn("last", F.pmod(F.col("last") + F.col("step"), F.lit(s.sketches)))
             key = F.xxhash64("bucket", "last", at(F.col("last"))).alias("bucket")
             rows = split.select("node", "company", "last", key, *following)
-    return found.distinct(), first
+    # The buckets of all levels at once: a shuffle for each level costs the driver more than the tasks.
+    return _pairs_of(levels, s).distinct(), first
 
 
 def rest_of(large: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, done: DataFrame, s: Settings) -> DataFrame:
@@ -331,15 +331,14 @@ def _pairs_of(ranked: DataFrame, s: Settings) -> DataFrame:
 
     large = ranked.where(F.col("size") > s.all_pairs)
     rank = F.struct("company", F.xxhash64("node"), "node")
-    heads = large.groupBy("bucket").agg(F.max_by("node", rank).alias("other"))
-    ends = large.join(heads, "bucket").select("node", "other")
+    heads = large.groupBy("bucket").agg(F.max_by("node", rank).alias("head"))
     # Neighbours by further sketches, within slices of a bucket so that no task sorts a whole hot one.
     slice_of = F.when(F.col("size") > 4096, F.pmod(F.xxhash64("next1"), F.ceil(F.col("size") / 2048))).otherwise(F.lit(0))
     order = Window.partitionBy("bucket", "slice").orderBy("next1", "next2", rank)
-    sliced = large.withColumn("slice", slice_of)
-    for i in range(1, s.neighbours + 1):
-        ends = ends.unionByName(sliced.select("node", F.lead("node", i).over(order).alias("other")))
-    ends = ends.where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
+    near = [F.lead("node", i).over(order).alias(f"near{i}") for i in range(1, s.neighbours + 1)]
+    sliced = large.join(heads, "bucket").withColumn("slice", slice_of).select("node", "head", *near)
+    others = F.explode(F.array(*[c for c in sliced.columns if c != "node"])).alias("other")
+    ends = sliced.select("node", others).where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
     return pairs.unionByName(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
 
 

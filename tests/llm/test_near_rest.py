@@ -54,3 +54,18 @@ def test_dedup_keeps_one_of_every_two(spark, tmp_path):
     s = near_dedup.Settings(sketches=4, minima=1, all_pairs=2, neighbours=0, levels=1)
     kept = near_dedup.dedup_near(spark.read.parquet(path), s=s)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_the_pairs_of_all_levels_are_made_at_once(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    rows = [(bytes([i]), i, [i % 3, i % 2, i, 7]) for i in range(30)]
+    spark.createDataFrame(rows, "node binary, uid long, sketches array<long>").write.parquet(path)
+    nodes = spark.read.parquet(path)
+    pairs = {}
+    for levels in (1, 2):
+        s = near_dedup.Settings(sketches=4, minima=1, all_pairs=2, levels=levels)
+        found, _ = near_dedup.candidates(nodes, s)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1
+        pairs[levels] = {(bytes(r.a), bytes(r.b)) for r in found.collect()}
+    assert pairs[1] < pairs[2] and all(a < b for a, b in pairs[2])
