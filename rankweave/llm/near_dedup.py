@@ -331,14 +331,16 @@ def _pairs_of(ranked: DataFrame, s: Settings) -> DataFrame:
 
     large = ranked.where(F.col("size") > s.all_pairs)
     rank = F.struct("company", F.xxhash64("node"), "node")
-    heads = large.groupBy("bucket").agg(F.max_by("node", rank).alias("head"))
+    heads = large.groupBy("bucket").agg(F.max_by("node", rank).alias("other"))
+    ends = large.join(heads, "bucket").select("node", "other")
     # Neighbours by further sketches, within slices of a bucket so that no task sorts a whole hot one.
     slice_of = F.when(F.col("size") > 4096, F.pmod(F.xxhash64("next1"), F.ceil(F.col("size") / 2048))).otherwise(F.lit(0))
     order = Window.partitionBy("bucket", "slice").orderBy("next1", "next2", rank)
-    near = [F.lead("node", i).over(order).alias(f"near{i}") for i in range(1, s.neighbours + 1)]
-    sliced = large.join(heads, "bucket").withColumn("slice", slice_of).select("node", "head", *near)
-    others = F.explode(F.array(*[c for c in sliced.columns if c != "node"])).alias("other")
-    ends = sliced.select("node", others).where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
+    leads = [F.lead("node", i).over(order).alias(f"lead{i}") for i in range(1, s.neighbours + 1)]
+    near = stored(large.withColumn("slice", slice_of).select("node", *leads), "near-neighbours")
+    for lead in near.columns[1:]:
+        ends = ends.unionByName(near.select("node", F.col(lead).alias("other")))
+    ends = ends.where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
     return pairs.unionByName(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
 
 
